@@ -109,10 +109,10 @@ def fingerprints(docs: DataFrame, rare: float = RARE, common: float = COMMON) ->
     ids = docs.filter("id is not null").groupBy("id").agg(F.max(F.length("text")).alias("n"))
     after = next_ids(ids, s)
     before = after.select(F.col("next_id").alias("id"), F.col("id").alias("prev"), F.expr("n div 3").cast("int").alias("k"))
-    heads = docs.join(before, "id").select("prev", F.left("text", F.col("k")).alias("head"))
+    heads = docs.join(before.hint("merge"), "id").select("prev", F.left("text", F.col("k")).alias("head"))
     heads = heads.groupBy("prev").agg(F.min("head").alias("head"))
     third = F.expr("length(text) div 3").cast("int")
-    full = docs.join(after.select("id", "next_id"), "id", "left").join(heads, F.col("id") == F.col("prev"), "left")
+    full = docs.join(after.select("id", "next_id").hint("merge"), "id", "left").join(heads.hint("merge"), F.col("id") == F.col("prev"), "left")
     edited = F.concat(F.left("text", F.length("text") - third), F.left(F.coalesce("head", F.lit("")), third))
     full = full.select("id", "next_id", "text", edited.alias("edited"))
     v = F.xxhash64("text")

@@ -140,7 +140,8 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, scratch: Scratch
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         texts = docs.filter("id is not null")
         left, right = (texts.select(F.col("id").alias(i), F.col("text").alias("t" + i)) for i in "ab")
-        found = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long")
+        # sorted at any size: a broadcast of the pairs would not hold on a large corpus
+        found = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long")
         return s.keep(found.distinct(), name, arrow_rows=500)
 
     first = stars.filter("near").groupBy(F.col("id").alias("b")).agg(F.min("rep").alias("a"))

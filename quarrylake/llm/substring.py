@@ -173,7 +173,8 @@ def repeated_windows(docs: DataFrame, target: int, s: Scratch) -> DataFrame:
 
 def _with_text(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
     right = lists.withColumnsRenamed({"id": "__rid", "v": "__rv"})
-    return docs.join(right, F.expr("id <=> __rid and v = __rv"), how).drop("__rid", "__rv")
+    # sorted at any size: a broadcast of what is found would not hold on a large corpus
+    return docs.join(right.hint("merge"), F.expr("id <=> __rid and v = __rv"), how).drop("__rid", "__rv")
 
 
 def dedup_substrings(docs: DataFrame, target: int = TARGET, keep_text: bool = True) -> DataFrame:
