@@ -59,7 +59,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -
 
     Chunk hashes alone are counted first; bytes are compared only among chunks whose hash
     repeats, by grouping on hash and bytes with partial sums, so a chunk of very many documents
-    leaves each task once. The joins read written tables and are split where a key is hot.
+    leaves each task once. The joins sort at any size, read written tables and are split where a key is hot.
     """
     spark = docs.sparkSession
     s = Scratch(spark, "lines")
@@ -73,7 +73,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -
     repeated = hashes.groupBy("__h").agg(F.count("*").alias("c")).filter("c > 1").select("__h")
     repeated = s.keep(repeated, "repeated")
     place = F.struct(F.col("__id").isNull().alias("last"), "__id", "__v", "__k")
-    again = rows.join(repeated, "__h").select("__h", "__chunk", place.alias("__p"))
+    again = rows.join(repeated.hint("merge"), "__h").select("__h", "__chunk", place.alias("__p"))
     firsts = again.groupBy("__h", "__chunk").agg(F.min("__p").alias("p")).select("p.*").drop("last")
     firsts = s.keep(firsts.select("__id", "__v", "__k"), "firsts")
     # what repeats and is nobody's first place goes; null-safe, for documents without an id
@@ -82,7 +82,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -
     gone = x.join(y, F.expr("x.__id <=> y.__id and x.__v = y.__v and x.__k = y.__k"), "left_anti")
     gone = gone.groupBy("__id", "__v").agg(F.collect_list("__k").alias("__gone")).withColumnsRenamed({"__id": "__gid", "__v": "__gv"})
     gone = s.keep(gone, "gone")
-    out = mine.join(gone, F.expr("__id <=> __gid and __v = __gv"), "left")
+    out = mine.join(gone.hint("merge"), F.expr("__id <=> __gid and __v = __gv"), "left")
     out = _cut(out, window, spacing)
     n = F.coalesce(F.size("__gone"), F.lit(0))
     # a set of all positions less those gone keeps order; array_except is a hash set
