@@ -4,7 +4,8 @@ Terms are maximal runs of letters, lower-cased. Of a document's distinct terms t
 document frequency lies in a band; the sorted rest is hashed under several randomised lexicons,
 each of which holds a random part of the terms. A change spoils only the lexicons that hold a
 changed term. How large a part a lexicon takes follows the number of terms, so that a few terms
-of the document fall into each; two neighbouring levels are kept, so that texts of like size have
+of the document fall into each; a term that no lexicon holds is left out before terms are looked
+up in the band. Two neighbouring levels are kept, so that texts of like size have
 one in common.
 """
 
@@ -38,25 +39,39 @@ def lexicon(docs: DataFrame, rare: float = RARE, common: float = COMMON) -> Data
     return counts.filter((F.col("count") >= max(2, rare * n)) & (F.col("count") <= max(3, common * n))).select("h")
 
 
-def _level(terms: Column) -> Column:
-    return F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.size(terms) * 4.0)).cast("int"))
+def _fixed(df: DataFrame, name: str, column: Column) -> DataFrame:
+    """df with a column that lambdas can read as a value; folded into them it would be computed for each element."""
+    return df.select("*", F.explode(F.array(column)).alias(name))
 
 
-def _entries(terms: Column, level: Column) -> Column:
-    """level.lexicon.hash of each lexicon of the level that holds some of the terms."""
-    of = F.pow(F.lit(2.0), level).cast("long")
-    held = F.filter(terms, lambda h: F.pmod(h, of) < LEXICONS)
-    which = F.array_sort(F.array_distinct(F.transform(held, lambda h: F.pmod(h, of))))
-    return F.transform(which, lambda c: F.concat_ws(
-        ".", level.cast("string"), c.cast("string"),
-        F.lower(F.hex(F.xxhash64(F.filter(held, lambda h: F.pmod(h, of) == c)).bitwiseAND(F.lit(0xFFFFFFFF)))),
-    ))
+def held_terms(df: DataFrame, text: str) -> DataFrame:
+    """df without text, with level, whole (a hash of all terms) and held: the terms that some lexicon of the level holds.
 
+    The lexicons of a level hold one in 2**level terms each; level + 1 halves them."""
+    df = _fixed(df, "terms", term_hashes(F.col(text))).drop(text)
+    level = F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.size("terms") * 2.0)).cast("int"))
+    df = _fixed(df, "level", F.when(F.size("terms") > 0, level).otherwise(LEAST_LEVEL))
+    df = _fixed(df, "cells", F.pow(F.lit(2.0), F.col("level")).cast("long"))
+    df = df.withColumns({"whole": F.xxhash64("terms"), "held": F.filter("terms", lambda h: F.pmod(h, F.col("cells")) < LEXICONS)})
+    return df.drop("terms", "cells")
 
-def fingerprint(terms: Column, whole: Column) -> Column:
-    """Entries joined by blanks; where no term lies in the band, the hash of all terms."""
-    two = F.concat(_entries(terms, _level(terms)), _entries(terms, _level(terms) + 1))
-    return F.when(F.size(two) > 0, F.array_join(two, " ")).otherwise(F.concat(F.lit("all."), F.lower(F.hex(whole))))
+
+def fingerprint(df: DataFrame) -> DataFrame:
+    """df with held (those in the band), level and whole -> with f: level.lexicon.hash for each
+    lexicon that holds terms, joined by blanks; without one, the hash of all terms."""
+    entries = []
+    for k in range(2):
+        cells, which, mine = f"__cells{k}", f"__which{k}", f"__mine{k}"
+        df = _fixed(df, cells, F.pow(F.lit(2.0), F.col("level") + k).cast("long"))
+        df = _fixed(df, mine, F.filter("held", lambda h: F.pmod(h, F.col(cells)) < LEXICONS))
+        df = _fixed(df, which, F.array_sort(F.array_distinct(F.transform(mine, lambda h: F.pmod(h, F.col(cells))))))
+        entries.append(F.transform(which, lambda c: F.concat_ws(
+            ".", (F.col("level") + k).cast("string"), c.cast("string"),
+            F.lower(F.hex(F.xxhash64(F.filter(mine, lambda h: F.pmod(h, F.col(cells)) == c)).bitwiseAND(F.lit(0xFFFFFFFF)))),
+        )))
+    df = _fixed(df, "__entries", F.concat(*entries))
+    f = F.when(F.size("__entries") > 0, F.array_join("__entries", " ")).otherwise(F.concat(F.lit("all."), F.lower(F.hex("whole"))))
+    return df.withColumn("f", f).drop("held", "level", "whole", *[c for c in df.columns if c.startswith("__")])
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -109,28 +124,28 @@ def fingerprints(docs: DataFrame, rare: float = RARE, common: float = COMMON) ->
     ids = docs.filter("id is not null").groupBy("id").agg(F.max(F.length("text")).alias("n"))
     after = next_ids(ids, s)
     before = after.select(F.col("next_id").alias("id"), F.col("id").alias("prev"), F.expr("n div 3").cast("int").alias("k"))
-    heads = docs.join(before.hint("merge"), "id").select("prev", F.left("text", F.col("k")).alias("head"))
-    heads = heads.groupBy("prev").agg(F.min("head").alias("head"))
+    around = s.keep(after.select("id", "next_id").join(before, "id"), "around")
     third = F.expr("length(text) div 3").cast("int")
-    full = docs.join(after.select("id", "next_id").hint("merge"), "id", "left").join(heads.hint("merge"), F.col("id") == F.col("prev"), "left")
-    edited = F.concat(F.left("text", F.length("text") - third), F.left(F.coalesce("head", F.lit("")), third))
-    full = full.select("id", "next_id", "text", edited.alias("edited"))
-    v = F.xxhash64("text")
-    both = full.select("id", "next_id", v.alias("v"), F.inline(F.array(
+    # the same join twice: texts are shuffled once, as the two read one exchange
+    named = docs.filter("id is not null").join(around.hint("merge"), "id")
+    heads = named.select("prev", F.left("text", F.col("k")).alias("head")).groupBy("prev").agg(F.min("head").alias("head"))
+    named = named.join(heads.withColumnRenamed("prev", "hid").hint("merge"), F.col("id") == F.col("hid"))
+    edited = F.concat(F.left("text", F.length("text") - third), F.left("head", third))
+    full = named.select("id", "next_id", "text", edited.alias("edited")).unionByName(
+        docs.filter("id is null").select("id", F.lit(None).cast("long").alias("next_id"), "text", F.left("text", F.length("text") - third).alias("edited"))
+    )
+    both = full.select("id", "next_id", F.xxhash64("text").alias("v"), F.inline(F.array(
         F.struct(F.lit(0).alias("kind"), F.length("text").cast("long").alias("n"), F.lit("").alias("sha"), F.col("text").alias("t")),
         F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n"), F.sha2("edited", 256).alias("sha"), F.col("edited").alias("t")),
     )))
     # one row without a term for each text keeps it where no term is in the band
-    terms = both.select("id", "next_id", "v", "kind", "n", "sha", F.explode(F.array(term_hashes(F.col("t")))).alias("terms"))
-    none = F.array(F.lit(None).cast("long"))
-    rows = terms.select("id", "next_id", "v", "kind", "n", "sha", F.xxhash64("terms").alias("whole"), F.explode(F.concat(none, "terms")).alias("h"))
+    key = ["id", "next_id", "v", "kind", "n", "sha", "level", "whole"]
+    rows = held_terms(both, "t").select(*key, F.explode(F.concat(F.array(F.lit(None).cast("long")), "held")).alias("h"))
     known = words.withColumn("in_band", F.lit(True))
     known = F.broadcast(known) if words.count() <= MAX_BROADCAST else known
     rows = rows.join(known, "h", "left").filter("h is null or in_band")
-    found = rows.groupBy("id", "next_id", "v", "kind", "n", "sha", "whole").agg(
-        F.array_sort(F.collect_set("h")).alias("terms"), F.count_if(F.col("h").isNull()).alias("copies")
-    )
-    found = found.withColumn("f", fingerprint(F.col("terms"), F.col("whole"))).drop("terms", "whole")
+    found = rows.groupBy(*key).agg(F.array_sort(F.collect_set("h")).alias("held"), F.count_if(F.col("h").isNull()).alias("copies"))
+    found = fingerprint(found)
     found = s.keep(found, "found")
     own = found.filter("kind = 0").select("id", "next_id", "v", "n", "f", "copies")
     other = found.filter("kind = 1").select(F.col("id").alias("eid"), F.col("v").alias("ev"), "sha", F.col("f").alias("ef"))
