@@ -17,8 +17,9 @@ from .components import components
 from .scratch import Scratch
 from .textops import between, mix, rolling, word_hashes
 
-#: Two texts at similarity 0.75 share no band with probability (1 - 0.75**ROWS)**(SIZE/ROWS) = 5e-6.
-SIZE, ROWS = 128, 4
+#: Two texts at similarity 0.75 share no band with probability (1 - 0.75**ROWS)**BANDS = 5e-6.
+#: Bands read the first coordinates; all of them estimate a similarity, one bit from each.
+SIZE, ROWS, BANDS = 256, 4, 32
 SHINGLE, SIMILARITY = 5, 75
 _ROUND = np.uint64(56)
 
@@ -52,25 +53,30 @@ def sketch(elements: np.ndarray, size: int = SIZE) -> np.ndarray:
 _TURN = np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-def _describe(text: str | None) -> tuple[int, int, int, int, int, list[int]]:
-    """n, two halves of a set digest, 128 sketch bits in two halves, band keys."""
+_BITS = [f"b{i}" for i in range(SIZE // 64)]
+
+
+def _describe(text: str | None) -> tuple[int, ...]:
+    """n, two halves of a set digest, sketch bits in longs, band keys."""
     s = shingle_hashes(text or "")
     if not len(s):
-        return 0, 0, 0, 0, 0, []
+        return 0, 0, 0, *[0] * len(_BITS), []
     k = sketch(s)
     d1, d2 = mix(s).sum(), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
-    bits = np.packbits((mix(k) & np.uint64(1)).astype(np.uint8)[:128]).view(np.int64)
-    bands = mix(mix(k.reshape(-1, ROWS) + _TURN).sum(1) + np.arange(SIZE // ROWS, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-    return len(s), int(d1.view(np.int64)), int(d2.view(np.int64)), int(bits[0]), int(bits[1]), bands.view(np.int64).tolist()
+    bits = np.packbits((mix(k) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    bands = mix(mix(k[: ROWS * BANDS].reshape(-1, ROWS) + _TURN).sum(1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
+    return len(s), int(d1.view(np.int64)), int(d2.view(np.int64)), *bits.tolist(), bands.view(np.int64).tolist()
+
+
+_SETS = ["id", "n", "d1", "d2", *_BITS, "bands"]
 
 
 def _sketches(batches):
-    names = ["id", "n", "d1", "d2", "b1", "b2", "bands"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    types = [pa.int64()] * (len(_SETS) - 1) + [pa.list_(pa.int64())]
     for b in batches:
         rows = [_describe(t.as_py()) for t in b.column("text")]
-        cols = list(zip(*rows)) if rows else [[]] * 6
-        yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(c, t) for c, t in zip(cols, types[1:])]], names)
+        cols = list(zip(*rows)) if rows else [[]] * (len(_SETS) - 1)
+        yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(c, t) for c, t in zip(cols, types[1:])]], _SETS)
 
 
 def exact_shingles(text: str | None, n: int = SHINGLE) -> set:
@@ -105,16 +111,18 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, scratch: Scratch
     document, with the sets of each row; kept is then true for each of them. Other columns are
     not read, whatever their names.
 
-    Equal sets are one class. Each band bucket links its members to its least class: first every
-    class tries its least such neighbour, then components are formed, and only pairs of a bucket
-    that components still separate are looked at: members that the least class did not reach,
-    against all of the bucket. A pair is verified on its full texts. No step holds a whole
-    bucket; skewed joins read written tables, so adaptive execution splits them.
+    Equal sets are one class. Linear work comes first: every class tries the least neighbour of
+    its band buckets, components are formed, and in buckets whose members components still
+    separate, all try one member drawn for the bucket. Pairs of a bucket are looked at only where
+    that leaves members apart: those outside the drawn member's component, against all of the
+    bucket. Sketch bits sort out pairs five deviations below the threshold; the others are
+    verified on their full texts. No step holds a whole bucket; skewed joins read written tables,
+    so adaptive execution splits them.
     """
     spark = docs.sparkSession
     s = scratch or Scratch(spark, "minhash")
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    schema = "id long, n long, d1 long, d2 long, b1 long, b2 long, bands array<long>"
+    schema = ", ".join(f"{c} {'array<long>' if c == 'bands' else 'long'}" for c in _SETS)
     sets = s.keep(docs.mapInArrow(_sketches, schema), "sets", arrow_rows=500)
     key = ["n", "d1", "d2"]
     classes = sets.filter("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.count("*").alias("size"))
@@ -122,40 +130,64 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, scratch: Scratch
     members = sets.select("id", *key).join(copies, key, "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     members = s.keep(members, "members")
     reps = sets.join(copies, key, "left").filter("n > 0 and id is not null and (rep is null or rep = id)")
-    reps = s.keep(reps.select("id", "n", "b1", "b2", "bands"), "reps")
+    reps = s.keep(reps.select("id", "n", *_BITS, "bands").dropDuplicates(["id"]), "reps")
     s.drop(sets)
-    bands = reps.select(F.explode("bands").alias("band"), "id", "n", "b1", "b2")
-    # sketch bits: at similarity p a bit is equal with probability (1 + p) / 2; six deviations below
+    bands = reps.select(F.explode("bands").alias("band"), "id")
+    bits = reps.select("id", "n", *_BITS)
+    # at similarity p a sketch bit is equal with probability (1 + p) / 2
     p = (1 + percent / 100) / 2
-    differ = int(128 * (1 - p) + 6 * (128 * p * (1 - p)) ** 0.5) + 1
-    like = f"bit_count({{0}}.b1 ^ {{1}}.b1) + bit_count({{0}}.b2 ^ {{1}}.b2) <= {differ} and 100 * least({{0}}.n, {{1}}.n) >= {percent} * greatest({{0}}.n, {{1}}.n)"
-    buckets = bands.groupBy("band").agg(F.min(F.struct("id", "n", "b1", "b2")).alias("r"), F.count("*").alias("c"))
-    buckets = s.keep(buckets.filter("c > 1").select("band", "r.*"), "buckets")
-    stars = bands.alias("x").join(buckets.alias("r"), "band").filter("x.id <> r.id")
-    stars = s.keep(
-        stars.select("band", F.col("x.id").alias("id"), "x.n", "x.b1", "x.b2", F.col("r.id").alias("rep"), F.expr(like.format("x", "r")).alias("near")),
-        "stars",
-    )
+    differ = int(SIZE * (1 - p) + 5 * (SIZE * p * (1 - p)) ** 0.5) + 1
+
+    def like(x: str, y: str) -> str:
+        counts = " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in _BITS)
+        return f"{counts} <= {differ} and 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
         texts = docs.filter("id is not null")
         left, right = (texts.select(F.col("id").alias(i), F.col("text").alias("t" + i)) for i in "ab")
         # sorted at any size: a broadcast of the pairs would not hold on a large corpus
-        found = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long")
+        found = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")
+        found = found.select("a", "b", "ta", "tb").mapInArrow(_verify(percent), "a long, b long")
         return s.keep(found.distinct(), name, arrow_rows=500)
 
-    first = stars.filter("near").groupBy(F.col("id").alias("b")).agg(F.min("rep").alias("a"))
-    links = verified(s.keep(first, "first"), "links")
+    buckets = bands.groupBy("band").agg(F.min("id").alias("rep"), F.count("*").alias("c"))
+    buckets = s.keep(buckets.filter("c > 1").select("band", "rep"), "buckets")
+    stars = s.keep(bands.join(buckets, "band").filter("id <> rep"), "stars")
+    tries = stars.select("id", "rep").distinct().join(bits, "id")
+    tries = tries.alias("x").join(bits.withColumnRenamed("id", "rep").alias("y"), "rep").filter(like("x", "y"))
+    first = s.keep(tries.groupBy(F.col("id").alias("b")).agg(F.min("rep").alias("a")).select("a", "b"), "first")
+    links = verified(first, "links")
     found = components(s, links)
-    stars = _component_of(stars, found, "id", "ic")
-    stars = s.keep(_component_of(stars, found, "rep", "rc").filter("ic <> rc"), "apart")
-    # members that their bucket's least class did not reach, against all of the bucket
-    others = bands.join(stars.select("band").distinct(), "band", "left_semi")
-    others = s.keep(_component_of(others, found, "id", "ic"), "others")
-    apart = stars.alias("x").join(others.alias("y"), "band").filter("x.ic <> y.ic and " + like.format("x", "y"))
-    pairs = apart.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-    pairs = s.keep(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+
+    apart = _component_of(_component_of(stars, found, "id", "ic"), found, "rep", "rc").filter("ic <> rc")
+    apart = s.keep(apart.select("band").distinct(), "apart")
+    others = s.keep(bands.join(apart, "band", "left_semi").join(bits, "id"), "others")
+
+    def separate(links_of: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of open buckets with their components, and of those the ones outside the drawn member's."""
+        now = s.keep(_component_of(others, links_of, "id", "ic", "alone"), "now")
+        # one that has links already stands a better chance to link others
+        drawn = now.groupBy("band").agg(F.min(F.struct("alone", F.xxhash64("id", "band").alias("h"), "id", "n", *_BITS, "ic")).alias("r"))
+        drawn = s.keep(drawn.select("band", "r.*").drop("alone", "h"), "drawn")
+        rest = now.alias("x").join(drawn.alias("y"), "band").filter("x.ic <> y.ic")
+        rest = s.keep(rest.select("band", "x.id", "x.n", *[f"x.{b}" for b in _BITS], "x.ic", F.col("y.id").alias("drawn"), F.expr(like("x", "y")).alias("near")), "rest")
+        return now, rest
+
+    def ordered(x: str, y: str) -> list:
+        return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+    tried = first
+    now, rest = separate(found)
+    pairs = s.keep(rest.filter("near").select(*ordered("id", "drawn")).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+    tried = tried.unionByName(pairs)
     more = verified(pairs, "more")
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        found = components(s, links)
+        now, rest = separate(found)
+    cross = rest.alias("x").join(now.alias("y"), "band").filter("x.ic <> y.ic and " + like("x", "y"))
+    pairs = cross.select(*ordered("x.id", "y.id")).distinct().join(tried, ["a", "b"], "left_anti")
+    more = verified(s.keep(pairs, "pairs"), "more")
     if more.limit(1).count():
         found = components(s, links.unionByName(more))
     out = members.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
@@ -166,10 +198,11 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, scratch: Scratch
     )
 
 
-def _component_of(df: DataFrame, found: DataFrame, column: str, name: str) -> DataFrame:
+def _component_of(df: DataFrame, found: DataFrame, column: str, name: str, alone: str | None = None) -> DataFrame:
     """df with the component of the class in column, itself where it has no link."""
     found = found.select(F.col("node").alias(column), F.col("component").alias("__c"))
-    return df.join(found, column, "left").withColumn(name, F.coalesce("__c", column)).drop("__c")
+    out = df.join(found, column, "left").withColumn(name, F.coalesce("__c", column))
+    return (out.withColumn(alone, F.col("__c").isNull()) if alone else out).drop("__c")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
