@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import os
-from itertools import chain
+import unicodedata
+from itertools import chain, repeat
 
 import numpy as np
 
@@ -31,9 +32,10 @@ def spread(data: bytes) -> bytes:
 
 
 class WordMemo:
-    """Lists of ids per word. Bounded: past LIMIT words or ids all is forgotten and learned anew."""
+    """Lists of ids per word. Bounded: a batch that begins with LIMIT words known, or eight ids
+    for each of so many, begins by forgetting them."""
 
-    LIMIT = 400_000
+    LIMIT = 800_000
 
     def __init__(self, encode):
         """encode: list of words -> list of lists of ids."""
@@ -46,14 +48,7 @@ class WordMemo:
         self.start = np.zeros(0, np.int64)
         self.length = np.zeros(0, np.int64)
 
-    def learn(self, words: set[bytes]) -> None:
-        """Call with all words of a batch before ids_of."""
-        new = [w for w in words if w not in self.code]
-        if not new:
-            return
-        if len(self.code) + len(new) > self.LIMIT or len(self.flat) > 8 * self.LIMIT:
-            self.clear()
-            new = list(words)
+    def _learn(self, new: list[bytes]) -> None:
         ids = self.encode(new)
         n = len(self.code)
         self.code.update(zip(new, range(n, n + len(new))))
@@ -62,16 +57,27 @@ class WordMemo:
         self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.uint32)])
         self.start, self.length = np.concatenate([self.start, start]), np.concatenate([self.length, length])
 
-    def codes_of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-
-    def ids_of(self, words: list[bytes]) -> np.ndarray:
-        if not words:
-            return np.zeros(0, np.uint32)
-        codes = self.codes_of(words)
+    def ids_of(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """The ids of each text, given as words."""
+        if len(self.code) > self.LIMIT or len(self.flat) > 8 * self.LIMIT:
+            self.clear()
+        codes = [np.fromiter(map(self.code.get, words, repeat(-1)), np.int64, len(words)) for words in texts]
+        lacking = [np.flatnonzero(c < 0).tolist() for c in codes]
+        new = {words[k] for words, at in zip(texts, lacking) for k in at}
+        if new:
+            self._learn(list(new))
+        for words, c, at in zip(texts, codes, lacking):
+            if at:
+                c[at] = [self.code[words[k]] for k in at]
+        return [self._expand(c) for c in codes]
+
+    def _expand(self, codes: np.ndarray) -> np.ndarray:
         length = self.length[codes]
+        total = int(length.sum())
+        if not total:
+            return np.zeros(0, np.uint32)
         shift = self.start[codes] - (np.cumsum(length) - length)
-        return self.flat[np.repeat(shift, length) + np.arange(length.sum())]
+        return self.flat[np.repeat(shift, length) + np.arange(total)]
 
 
 _tokenizers: dict[str, WordMemo] = {}
@@ -86,16 +92,38 @@ def vocabulary_path(path: str | None, name: str) -> str:
 
 
 def word_tokenizer(path: str | None = None) -> WordMemo:
-    """The word-level BPE tokenizer in path, kept by each Python worker."""
+    """The word-level BPE tokenizer in path, kept by each Python worker.
+
+    A word that is all letters once normalised is one pre-token, so the model alone encodes it."""
     path = vocabulary_path(path, "word_bpe_49k.json")
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         t = Tokenizer.from_file(path)
-        _tokenizers[path] = WordMemo(
-            lambda words: [e.ids for e in t.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        )
+        model = t.model
+        # the printable stand-in of each byte of UTF-8, by one character for each leading byte
+        leading = [*range(0x800), *range(0x800, 0x10000, 0x400), *range(0x10000, 0x110000, 0x10000)]
+        shown = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        stand_in = {b: x for c in leading if not 0xD800 <= c < 0xE000 for b, x in zip(chr(c).encode(), shown(chr(c))[0][0])}
+
+        def encode(words: list[bytes]) -> list[list[int]]:
+            out: list[list[int]] = []
+            for w in words:
+                if w.isalpha():  # ASCII letters; case is lowered unless the text holds a special token
+                    out.append([x.id for x in model.tokenize(w.lower().decode())])
+                    continue
+                text = w.decode()
+                plain = unicodedata.normalize("NFC", text)
+                lowered = plain.lower()
+                if lowered.isalpha() and "Σ" not in plain:
+                    out.append([x.id for x in model.tokenize("".join(map(stand_in.__getitem__, lowered.encode())))])
+                else:
+                    out.append(t.encode(text, add_special_tokens=False).ids)
+            return out
+
+        _tokenizers[path] = WordMemo(encode)
     return _tokenizers[path]
 
 
@@ -119,7 +147,5 @@ def token_batches(texts: list[str | None], path: str | None = None, chars: int =
         while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= chars):
             size += len(texts[hi] or "")
             hi += 1
-        words = [split_words(t) for t in texts[lo:hi]]
-        memo.learn(set(chain.from_iterable(words)))
-        yield from (memo.ids_of(w) for w in words)
+        yield from memo.ids_of([split_words(t) for t in texts[lo:hi]])
         lo = hi
