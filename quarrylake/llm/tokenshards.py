@@ -28,6 +28,8 @@ from .wordmemo import token_batches
 LENGTH, SHARD, END_ID, PAD_ID = 2048, 1024, 1, 0
 STRIDE = 2 * LENGTH + 1
 KEY, TURNS = 0x5EED, 6
+#: Shards are written in so many ranges one after the other; a shuffle holds the ids of one of them.
+WAVES = 2
 
 
 def permute(g: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -52,32 +54,26 @@ def _sequences(length: int, path: str | None):
     """Rows of a split: number in the split, first document and where in it, ids that count, ids as bytes."""
 
     def run(batches):
-        tail, spans, number = np.zeros(0, np.uint32), [], 0
-
-        def cut(ids, whole):
-            nonlocal tail, spans, number
-            rows, lo = [], 0
-            while len(ids) - lo >= (length if whole else 1):
-                part = ids[lo : lo + length]
-                # the last document that starts at or before the sequence
-                while len(spans) > 1 and spans[1][0] <= lo:
-                    spans.pop(0)
-                data = np.full(length, PAD_ID, "<u2")
-                data[: len(part)] = part
-                docs = sum(1 for at, _ in spans if at < lo + length)
-                rows.append((number, spans[0][1], lo - spans[0][0], docs, len(part), data.tobytes()))
-                number, lo = number + 1, lo + length
-            tail, spans = ids[lo:], [(at - lo, i) for at, i in spans]
-            return rows
-
+        tail, starts, names, number = np.zeros(0, np.uint32), np.zeros(0, np.int64), [], 0
         for b in batches:
-            parts, at = [tail], len(tail)
+            parts, at, more = [tail], len(tail), []
             for i, ids in zip(b.column("id").to_pylist(), token_batches(b.column("text").to_pylist(), path)):
-                spans.append((at, i))
+                more.append(at)
+                names.append(i)
                 parts += [ids, np.array([END_ID], np.uint32)]
                 at += len(ids) + 1
-            yield from _record(cut(np.concatenate(parts), True))
-        yield from _record(cut(tail, False))
+            ids, starts = np.concatenate(parts), np.append(starts, more).astype(np.int64)
+            k = len(ids) // length
+            if k:
+                yield _record(ids[: k * length].reshape(k, length), starts, names, number, length)
+            number, tail = number + k, ids[k * length :]
+            # the document that the tail begins in, and those after it
+            first = max(0, int(np.searchsorted(starts, k * length, "right")) - 1)
+            starts, names = starts[first:] - k * length, names[first:]
+        if len(tail):
+            data = np.full((1, length), PAD_ID, np.uint32)
+            data[0, : len(tail)] = tail
+            yield _record(data, starts, names, number, len(tail))
 
     return run
 
@@ -85,10 +81,15 @@ def _sequences(length: int, path: str | None):
 _SCHEMA = "number long, first_doc_id long, first_start long, n_docs long, n_ids long, data binary"
 
 
-def _record(rows):
-    if rows:
-        kinds = [pa.int64()] * 5 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in _SCHEMA.split(", ")])
+def _record(data: np.ndarray, starts: np.ndarray, names: list, number: int, n_ids: int) -> pa.RecordBatch:
+    k, length = data.shape
+    lo = np.arange(k) * length
+    first = np.searchsorted(starts, lo, "right") - 1
+    ends = np.searchsorted(starts, lo + n_ids, "left")
+    size = np.arange(k + 1, dtype=np.int32) * (2 * length)
+    cells = pa.Array.from_buffers(pa.binary(), k, [None, pa.py_buffer(size), pa.py_buffer(data.astype("<u2"))])
+    cols = [pa.array(number + np.arange(k)), pa.array([names[i] for i in first], pa.int64()), pa.array(lo - starts[first]), pa.array(ends - first), pa.array(np.full(k, n_ids))]
+    return pa.RecordBatch.from_arrays([*cols, cells], [c.split()[0] for c in _SCHEMA.split(", ")])
 
 
 def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, shard: int = SHARD, key: int = KEY, path: str | None = None) -> DataFrame:
@@ -101,7 +102,7 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, shard: int
 
     Sequences depend on how the input is split, and are fixed once written. Their counts per
     split come to the driver, two numbers for each split of the input. The permutation sees only
-    numbers; ids are shuffled once, by ranges of shards.
+    numbers; each id is shuffled once, by ranges of shards.
     """
     s = Scratch(docs.sparkSession, "shards")
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
@@ -117,9 +118,13 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, shard: int
 
     rows = rows.withColumn("slot", slot_of("part", "number")).withColumn("shard", F.expr(f"slot div {shard}"))
     shards = max(1, -(-n // shard))
-    dealt = rows.select("shard", "slot", F.col("data").cast("string").alias("value")).repartitionByRange(min(shards, 100_000), "shard")
-    dealt.sortWithinPartitions("shard", "slot").select("shard", "value").write.partitionBy("shard").option("lineSep", "\n").mode("overwrite").text(folder)
-    s.release()
+    for w in range(WAVES):
+        part = rows.filter((F.col("shard") >= shards * w // WAVES) & (F.col("shard") < shards * (w + 1) // WAVES))
+        dealt = part.select("shard", "slot", F.col("data").cast("string").alias("value")).repartitionByRange(min(shards, 100_000), "shard")
+        dealt = dealt.sortWithinPartitions("shard", "slot").select("shard", "value")
+        dealt.write.partitionBy("shard").option("lineSep", "\n").mode("append" if w else "overwrite").text(folder)
+        del dealt, part
+        s.release()
     return rows.select(
         "slot", "shard", F.expr(f"slot % {shard} * {2 * length + 1}").alias("byte_offset"), F.crc32("data").alias("crc32"),
         "n_ids", "first_doc_id", "first_start", "n_docs",

@@ -35,7 +35,7 @@ class WordMemo:
     """Lists of ids per word. Bounded: a batch that begins with LIMIT words known, or eight ids
     for each of so many, begins by forgetting them."""
 
-    LIMIT = 800_000
+    LIMIT = 400_000
 
     def __init__(self, encode):
         """encode: list of words -> list of lists of ids."""
