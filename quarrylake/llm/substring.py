@@ -171,10 +171,10 @@ def repeated_windows(docs: DataFrame, target: int, s: Scratch) -> DataFrame:
     return s.keep(out, "found")
 
 
-def _with_text(docs: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
+def _with_text(docs: DataFrame, lists: DataFrame, how: str = "inner", id: str = "id", v: str = "v") -> DataFrame:
     right = lists.withColumnsRenamed({"id": "__rid", "v": "__rv"})
     # sorted at any size: a broadcast of what is found would not hold on a large corpus
-    return docs.join(right.hint("merge"), F.expr("id <=> __rid and v = __rv"), how).drop("__rid", "__rv")
+    return docs.join(right.hint("merge"), F.expr(f"{id} <=> __rid and {v} = __rv"), how).drop("__rid", "__rv")
 
 
 def dedup_substrings(docs: DataFrame, target: int = TARGET, keep_text: bool = True) -> DataFrame:
@@ -201,7 +201,7 @@ def dedup_substrings(docs: DataFrame, target: int = TARGET, keep_text: bool = Tr
     def work(batches):
         for b in batches:
             cols = [[], [], []]
-            for t, ss, cs in zip(*[b.column(c).to_pylist() for c in ("__text", "starts", "counts")]):
+            for t, ss, cs in zip(*[b.column(c).to_pylist() for c in ("__text", "__starts", "__counts")]):
                 words, n = kept_words(t, ss, cs, target)
                 kept = b" ".join(words)
                 cols[0].append(n)
@@ -213,12 +213,13 @@ def dedup_substrings(docs: DataFrame, target: int = TARGET, keep_text: bool = Tr
             )
 
     schema = docs.select(*[F.col(f"`{c}`") for c in old]).withColumns(
-        {"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), last: F.lit("")}
+        {"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), last: F.lit(None).cast("string")}
     ).schema
-    full = docs.select(*[F.col(f"`{c}`") for c in old], F.col("doc_id").cast("long").alias("id"), F.hash("text").alias("v"), F.col("text").alias("__text"))
+    full = docs.select(*[F.col(f"`{c}`") for c in old], F.col("doc_id").cast("long").alias("__id"), F.hash("text").alias("__v"), F.col("text").alias("__text"))
     if not keep_text:
         full = full.withColumn("text", F.lit(None).cast("string"))
-    out = _with_text(full, found, "left").drop("id", "v").mapInArrow(work, schema)
+    found = found.withColumnsRenamed({"starts": "__starts", "counts": "__counts"})
+    out = _with_text(full, found, "left", "__id", "__v").drop("__id", "__v").mapInArrow(work, schema)
     return s.keep(out, "result", arrow_rows=500)
 
 
