@@ -19,9 +19,9 @@ from .textops import between, mix, rolling, word_hashes
 
 #: Two texts at similarity 0.75 share no band with probability (1 - 0.75**ROWS)**BANDS = 5e-6.
 #: Bands read the first coordinates; all of them estimate a similarity, one bit from each.
-SIZE, ROWS, BANDS = 256, 4, 32
+SIZE, ROWS, BANDS = 1024, 4, 32
 SHINGLE, SIMILARITY = 5, 75
-_ROUND = np.uint64(56)
+_ROUND = np.uint64(52)  # 12 bits for the round, 52 for the fraction
 
 
 def shingle_hashes(text: str, n: int = SHINGLE) -> np.ndarray:
@@ -37,12 +37,13 @@ def sketch(elements: np.ndarray, size: int = SIZE) -> np.ndarray:
     """The fast similarity sketch of a non-empty array of distinct 64-bit hashes."""
     empty = np.uint64(0xFFFFFFFFFFFFFFFF)
     out = np.full(size, empty, np.uint64)
-    r, step = 0, 1 if len(elements) > 2 * size else 16
+    # some 2 * size values at a time, so that few sets need more than five turns
+    r, step = 0, max(1, 2 * size // len(elements))
     while r < 2 * size:
         rounds = np.arange(r, min(r + step, 2 * size), dtype=np.uint64)
         h = mix(elements[:, None] ^ mix(rounds * np.uint64(0xD1B54A32D192ED03) + np.uint64(1)))
         bins = np.where(rounds < size, h % np.uint64(size), rounds % np.uint64(size)).astype(np.int64)
-        value = (rounds << _ROUND) | (mix(h) >> np.uint64(8))
+        value = (rounds << _ROUND) | (mix(h) >> np.uint64(12))
         np.minimum.at(out, bins.ravel(), value.ravel())
         r += step
         if not (out == empty).any():
@@ -115,8 +116,8 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, scratch: Scratch
     its band buckets, components are formed, and in buckets whose members components still
     separate, all try one member drawn for the bucket. Pairs of a bucket are looked at only where
     that leaves members apart: those outside the drawn member's component, against all of the
-    bucket. Sketch bits sort out pairs five deviations below the threshold; the others are
-    verified on their full texts. No step holds a whole bucket; skewed joins read written tables,
+    bucket, and each pair in one bucket only. Sketch bits sort out pairs five deviations below
+    the threshold; the others are verified on their full texts. No step holds a whole bucket; skewed joins read written tables,
     so adaptive execution splits them.
     """
     spark = docs.sparkSession
@@ -161,7 +162,9 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, scratch: Scratch
 
     apart = _component_of(_component_of(stars, found, "id", "ic"), found, "rep", "rc").filter("ic <> rc")
     apart = s.keep(apart.select("band").distinct(), "apart")
-    others = s.keep(bands.join(apart, "band", "left_semi").join(bits, "id"), "others")
+    others = s.keep(bands.join(apart, "band", "left_semi"), "others")
+    opened = others.groupBy("id").agg(F.collect_set("band").alias("open"))  # BANDS at most
+    others = s.keep(others.join(bits, "id").join(opened, "id"), "others")
 
     def separate(links_of: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members of open buckets with their components, and of those the ones outside the drawn member's."""
@@ -170,7 +173,7 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, scratch: Scratch
         drawn = now.groupBy("band").agg(F.min(F.struct("alone", F.xxhash64("id", "band").alias("h"), "id", "n", *_BITS, "ic")).alias("r"))
         drawn = s.keep(drawn.select("band", "r.*").drop("alone", "h"), "drawn")
         rest = now.alias("x").join(drawn.alias("y"), "band").filter("x.ic <> y.ic")
-        rest = s.keep(rest.select("band", "x.id", "x.n", *[f"x.{b}" for b in _BITS], "x.ic", F.col("y.id").alias("drawn"), F.expr(like("x", "y")).alias("near")), "rest")
+        rest = s.keep(rest.select("band", "x.id", "x.n", *[f"x.{b}" for b in _BITS], "x.ic", F.col("y.id").alias("drawn"), F.expr(like("x", "y")).alias("near"), "x.open"), "rest")
         return now, rest
 
     def ordered(x: str, y: str) -> list:
@@ -185,7 +188,9 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, scratch: Scratch
         links = links.unionByName(more)
         found = components(s, links)
         now, rest = separate(found)
-    cross = rest.alias("x").join(now.alias("y"), "band").filter("x.ic <> y.ic and " + like("x", "y"))
+    # a pair comes from the least of the open buckets that hold both
+    once = "x.band = array_min(array_intersect(x.open, y.open))"
+    cross = rest.alias("x").join(now.alias("y"), "band").filter(f"x.ic <> y.ic and {like('x', 'y')} and {once}")
     pairs = cross.select(*ordered("x.id", "y.id")).distinct().join(tried, ["a", "b"], "left_anti")
     more = verified(s.keep(pairs, "pairs"), "more")
     if more.limit(1).count():
