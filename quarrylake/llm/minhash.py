@@ -18,7 +18,7 @@ from .scratch import Scratch
 from .textops import between, mix, rolling, word_hashes
 
 #: Two texts at similarity 0.75 share no band with probability (1 - 0.75**ROWS)**BANDS = 5e-6.
-#: Bands read the first coordinates; all of them estimate a similarity, one bit from each.
+#: Bands read the first coordinates; all of them estimate a similarity, two bits from each.
 SIZE, ROWS, BANDS = 1024, 4, 32
 SHINGLE, SIMILARITY = 5, 75
 _ROUND = np.uint64(52)  # 12 bits for the round, 52 for the fraction
@@ -54,7 +54,8 @@ def sketch(elements: np.ndarray, size: int = SIZE) -> np.ndarray:
 _TURN = np.arange(1, ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 
 
-_BITS = [f"b{i}" for i in range(SIZE // 64)]
+_PLANES = 2
+_BITS = [f"b{j}_{i}" for j in range(_PLANES) for i in range(SIZE // 64)]
 
 
 def _describe(text: str | None) -> tuple[int, ...]:
@@ -64,7 +65,8 @@ def _describe(text: str | None) -> tuple[int, ...]:
         return 0, 0, 0, *[0] * len(_BITS), []
     k = sketch(s)
     d1, d2 = mix(s).sum(), mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum()
-    bits = np.packbits((mix(k) & np.uint64(1)).astype(np.uint8)).view(np.int64)
+    m = mix(k)
+    bits = np.concatenate([np.packbits((m >> np.uint64(j) & np.uint64(1)).astype(np.uint8)).view(np.int64) for j in range(_PLANES)])
     bands = mix(mix(k[: ROWS * BANDS].reshape(-1, ROWS) + _TURN).sum(1) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
     return len(s), int(d1.view(np.int64)), int(d2.view(np.int64)), *bits.tolist(), bands.view(np.int64).tolist()
 
@@ -135,12 +137,13 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, scratch: Scratch
     s.drop(sets)
     bands = reps.select(F.explode("bands").alias("band"), "id")
     bits = reps.select("id", "n", *_BITS)
-    # at similarity p a sketch bit is equal with probability (1 + p) / 2
-    p = (1 + percent / 100) / 2
-    differ = int(SIZE * (1 - p) + 5 * (SIZE * p * (1 - p)) ** 0.5) + 1
+    # coordinates that are not equal still agree in their two bits once in four
+    p = (1 - percent / 100) * (1 - 2.0**-_PLANES)
+    differ = int(SIZE * p + 5 * (SIZE * p * (1 - p)) ** 0.5) + 1
 
     def like(x: str, y: str) -> str:
-        counts = " + ".join(f"bit_count({x}.{b} ^ {y}.{b})" for b in _BITS)
+        planes = [[f"({x}.b{j}_{i} ^ {y}.b{j}_{i})" for j in range(_PLANES)] for i in range(SIZE // 64)]
+        counts = " + ".join(f"bit_count({' | '.join(p)})" for p in planes)
         return f"{counts} <= {differ} and 100 * least({x}.n, {y}.n) >= {percent} * greatest({x}.n, {y}.n)"
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
