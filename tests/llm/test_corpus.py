@@ -185,3 +185,20 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 0 and "sequence_id" in out.columns
+
+
+def test_pieces_solved_together():
+    rng = np.random.default_rng(3)
+    letters = list("abcdeinst▁éß日\U0001f600Q0.") + ["\ua66e"]  # the last is no piece
+    words = ["".join(rng.choice(letters, n)) for n in rng.integers(1, 20, 2000)] + ["a" * 70, "▁the"]
+    words = list(dict.fromkeys(words))
+    v = pieces.Vocabulary(None, 4)
+    v.learn(set(words))
+    whole = v.solve(words)[0]
+    assert 500 < whole.sum() < len(words)
+    for w in words:
+        best, gap, ids = v.part(w)
+        k = v.code[w]
+        assert abs(v.best[k] - best) < 1e-9 and (v.gap[k] == gap or abs(v.gap[k] - gap) < 1e-9)
+        got = tuple(v.flat[v.start[k] : v.start[k] + v.length[k]].tolist())
+        assert got == ids or gap < 1e-9
