@@ -36,7 +36,7 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
         self.n = 0
 
-    def keep(self, df: DataFrame, name: str, arrow_rows: int | None = None) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, arrow_rows: int | None = None, codec: str = "snappy") -> DataFrame:
         """Write df and return the written table. arrow_rows bounds a Python batch meanwhile."""
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
@@ -44,7 +44,7 @@ class Scratch:
         if arrow_rows:
             self.spark.conf.set(ARROW_ROWS, str(arrow_rows))
         try:
-            df.write.mode("overwrite").parquet(path)
+            df.write.mode("overwrite").parquet(path, compression=codec)
         finally:
             if arrow_rows:
                 self.spark.conf.set(ARROW_ROWS, before)

@@ -106,7 +106,8 @@ def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, shard: int
     s = Scratch(docs.sparkSession, "shards")
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     rows = docs.mapInArrow(_sequences(length, path), _SCHEMA).withColumn("part", F.spark_partition_id())
-    rows = s.keep(rows, "sequences", arrow_rows=500)
+    # entropy coding: ids hardly repeat as strings, but few of them are frequent
+    rows = s.keep(rows, "sequences", arrow_rows=500, codec="zstd")
     counts = rows.groupBy("part").count().orderBy("part").toPandas()
     n = int(counts["count"].sum())
     first = dict(zip(counts["part"], counts["count"].cumsum() - counts["count"]))
