@@ -44,7 +44,7 @@ class Scratch:
         if arrow_rows:
             self.spark.conf.set(ARROW_ROWS, str(arrow_rows))
         try:
-            df.write.mode("overwrite").parquet(path, compression=codec)
+            df.write.mode("overwrite").option("parquet.compression.codec.zstd.level", "6").parquet(path, compression=codec)
         finally:
             if arrow_rows:
                 self.spark.conf.set(ARROW_ROWS, before)
