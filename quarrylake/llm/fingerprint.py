@@ -1,12 +1,11 @@
 """Document fingerprints in the manner of I-Match, from DataFrame functions only.
 
 Terms are maximal runs of letters, lower-cased. Of a document's distinct terms those stay whose
-document frequency lies in a band; the sorted rest is hashed under several randomised lexicons,
-each of which holds a random part of the terms. A change spoils only the lexicons that hold a
-changed term. How large a part a lexicon takes follows the number of terms, so that a few terms
-of the document fall into each; a term that no lexicon holds is left out before terms are looked
-up in the band. Two neighbouring levels are kept, so that texts of like size have
-one in common.
+document frequency lies in a band; they are hashed under several randomised lexicons, each of
+which holds a random part of the band. The lexicons of a level share out the whole band, so that
+every term in it counts; a change spoils only the lexicons that hold a changed term. How many
+lexicons a level has follows the number of terms, so that a few terms of the document fall into
+each. Two neighbouring levels are kept, so that texts of like size have one in common.
 """
 
 from __future__ import annotations
@@ -20,10 +19,11 @@ from .scratch import Scratch
 #: The band, as shares of all documents. A document has d distinct terms on average, so at most
 #: d / RARE terms lie in the band whatever the corpus: this bounds what is broadcast.
 RARE, COMMON = 0.001, 0.1
-#: Lexicons at a level. At level i a lexicon holds one in 2**i terms.
-LEXICONS, LEAST_LEVEL = 64, 6
+#: Level i has 2**i lexicons, each of one in 2**i terms; TERMS is the least mean number of terms in a lexicon.
+TERMS, LEAST_LEVEL = 2, 6
 #: The lexicon is broadcast up to so many terms, and joined by its key beyond.
 MAX_BROADCAST = 2_000_000
+LOW = 0xFFFFFFFF
 
 
 def term_hashes(text: Column) -> Column:
@@ -44,49 +44,81 @@ def _fixed(df: DataFrame, name: str, column: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(column)).alias(name))
 
 
-def held_terms(df: DataFrame, text: str) -> DataFrame:
-    """df without text, with level, whole (a hash of all terms) and held: the terms that some lexicon of the level holds.
-
-    The lexicons of a level hold one in 2**level terms each; level + 1 halves them."""
+def levelled_terms(df: DataFrame, text: str) -> DataFrame:
+    """df without text, with terms, level and whole (a hash of all terms)."""
     df = _fixed(df, "terms", term_hashes(F.col(text))).drop(text)
-    level = F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.size("terms") * 2.0)).cast("int"))
-    df = _fixed(df, "level", F.when(F.size("terms") > 0, level).otherwise(LEAST_LEVEL))
-    df = _fixed(df, "cells", F.pow(F.lit(2.0), F.col("level")).cast("long"))
-    df = df.withColumns({"whole": F.xxhash64("terms"), "held": F.filter("terms", lambda h: F.pmod(h, F.col("cells")) < LEXICONS)})
-    return df.drop("terms", "cells")
-
-
-def fingerprint(df: DataFrame) -> DataFrame:
-    """df with held (those in the band), level and whole -> with f: level.lexicon.hash for each
-    lexicon that holds terms, joined by blanks; without one, the hash of all terms."""
-    entries = []
-    for k in range(2):
-        cells, which, mine = f"__cells{k}", f"__which{k}", f"__mine{k}"
-        df = _fixed(df, cells, F.pow(F.lit(2.0), F.col("level") + k).cast("long"))
-        df = _fixed(df, mine, F.filter("held", lambda h: F.pmod(h, F.col(cells)) < LEXICONS))
-        df = _fixed(df, which, F.array_sort(F.array_distinct(F.transform(mine, lambda h: F.pmod(h, F.col(cells))))))
-        entries.append(F.transform(which, lambda c: F.concat_ws(
-            ".", (F.col("level") + k).cast("string"), c.cast("string"),
-            F.lower(F.hex(F.xxhash64(F.filter(mine, lambda h: F.pmod(h, F.col(cells)) == c)).bitwiseAND(F.lit(0xFFFFFFFF)))),
-        )))
-    df = _fixed(df, "__entries", F.concat(*entries))
-    f = F.when(F.size("__entries") > 0, F.array_join("__entries", " ")).otherwise(F.concat(F.lit("all."), F.lower(F.hex("whole"))))
-    return df.withColumn("f", f).drop("held", "level", "whole", *[c for c in df.columns if c.startswith("__")])
+    level = F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.size("terms") / (2.0 * TERMS))).cast("int"))
+    return df.withColumns({"level": F.when(F.size("terms") > 0, level).otherwise(LEAST_LEVEL), "whole": F.xxhash64("terms")})
+
+
+def _banded(df: DataFrame, key: list[str], known: DataFrame) -> DataFrame:
+    """df (key, t) -> key, level, whole, copies, fine: of each lexicon of level + 1 that holds terms
+    in the band its number, before 32 bits with the sum of their hashes. Equal rows become one, counted by copies.
+
+    A lexicon is the first bits of the terms' hashes, so lexicons 2i and 2i + 1 of level + 1 make up lexicon i of level."""
+    key = [*key, "level", "whole"]
+    # one row without a term for each text keeps it where no term is in the band
+    rows = levelled_terms(df, "t").select(*key, F.explode(F.concat(F.array(F.lit(None).cast("long")), "terms")).alias("h"))
+    rows = rows.join(known, "h", "left").filter("h is null or in_band")
+    rows = rows.select(*key, F.expr("shiftrightunsigned(h, 63 - level)").alias("cell"), F.col("h").bitwiseAND(F.lit(LOW)).alias("low"))
+    sums = rows.groupBy(*key, "cell").agg(F.sum("low").alias("sum"), F.count("*").alias("m"))
+    out = sums.groupBy(*key).agg(
+        F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "sum"))).alias("cells"),
+        F.max(F.when(F.col("cell").isNull(), F.col("m"))).alias("copies"),
+    )
+    # copies add alike
+    entry = F.transform("cells", lambda e: F.shiftleft(e["cell"], 32).bitwiseOR(F.floor(e["sum"] / F.col("copies")).cast("long").bitwiseAND(F.lit(LOW))))
+    return out.withColumn("fine", F.array_sort(entry)).drop("cells")
+
+
+def coarse(fine: str) -> Column:
+    """The lexicons of level out of those of level + 1."""
+
+    def side(i: Column) -> Column:
+        return F.shiftright(F.get(F.col(fine), i), 33)
+
+    def joined(e: Column, i: Column) -> Column:
+        a = F.shiftright(e, 33)
+        after = F.when(side(i + 1) == a, F.get(F.col(fine), i + 1).bitwiseAND(F.lit(LOW))).otherwise(0)
+        both = F.shiftleft(a, 32).bitwiseOR((e.bitwiseAND(F.lit(LOW)) + after).bitwiseAND(F.lit(LOW)))
+        return F.when(F.coalesce(side(i - 1) != a, F.lit(True)), both)
 
+    return F.filter(F.transform(fine, joined), lambda e: e.isNotNull())
 
-def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: among the lexicons of levels that both have, and that hold terms of either, the share with equal hashes."""
 
-    def cells(x: Column) -> Column:
-        return F.transform(F.split(x, " "), lambda e: F.substring_index(e, ".", 2))
+def fingerprint(level: str, coarse: str, fine: str, whole: str) -> Column:
+    """level.lexicon.hash for each lexicon of both levels that holds terms, joined by blanks; without one, the hash of all terms."""
 
-    def levels(x: Column) -> Column:
-        return F.array_distinct(F.transform(F.split(x, " "), lambda e: F.substring_index(e, ".", 1)))
+    def entries(of: str, level: Column) -> Column:
+        return F.transform(of, lambda e: F.concat_ws(
+            ".", level.cast("string"), F.shiftright(e, 32).cast("string"), F.lower(F.hex(e.bitwiseAND(F.lit(LOW))))))
 
-    shared = F.array_intersect(levels(a), levels(b))
-    both = F.size(F.array_intersect(F.split(a, " "), F.split(b, " ")))
-    either = F.size(F.filter(F.array_union(cells(a), cells(b)), lambda c: F.array_contains(shared, F.substring_index(c, ".", 1))))
-    return F.when(a == b, 1.0).when(either > 0, both / either).otherwise(0.0)
+    every = F.concat(entries(coarse, F.col(level)), entries(fine, F.col(level) + 1))
+    return F.when(F.size(fine) > 0, F.array_join(every, " ")).otherwise(F.concat(F.lit("all."), F.lower(F.hex(whole))))
+
+
+def likeness(a: str, b: str) -> Column:
+    """0 to 1: among the lexicons of levels that both have, and that hold terms of either, the share with equal hashes.
+
+    a and b are what the names level, coarse, fine and whole of two texts begin with."""
+
+    def col(of: str, name: str) -> Column:
+        return F.col(of + name)
+
+    def share(pairs: list[tuple[Column, Column]]) -> Column:
+        both = sum((F.size(F.array_intersect(x, y)) for x, y in pairs), F.lit(0))
+        either = sum((F.size(F.array_union(*[F.transform(z, lambda e: F.shiftright(e, 32)) for z in p])) for p in pairs), F.lit(0))
+        return F.when(either > 0, both / either).otherwise(0.0)
+
+    up = col(a, "level") - col(b, "level")
+    same = (up == 0) & (col(a, "fine") == col(b, "fine")) & ((F.size(col(a, "fine")) > 0) | (col(a, "whole") == col(b, "whole")))
+    return (
+        F.when(same, 1.0)
+        .when(up == 0, share([(col(a, "coarse"), col(b, "coarse")), (col(a, "fine"), col(b, "fine"))]))
+        .when(up == 1, share([(col(a, "coarse"), col(b, "fine"))]))
+        .when(up == -1, share([(col(a, "fine"), col(b, "coarse"))]))
+        .otherwise(0.0)
+    )
 
 
 def next_ids(ids: DataFrame, s: Scratch) -> DataFrame:
@@ -113,10 +145,10 @@ def fingerprints(docs: DataFrame, rare: float = RARE, common: float = COMMON) ->
     document, in descending order of doc_id; the last is followed by the first. A null text is an
     empty one. A null doc_id has no next document: its edited text ends where the replacement
     would begin, and near_next is 0. Where rows repeat a doc_id, each of them is kept; as someone's
-    next document the least beginning counts, and the least fingerprint. Other columns are not read.
+    next document the least beginning counts, and the least fingerprint, by level and hashes. Other columns are not read.
 
     Terms are hashed and aggregated within the tasks that read the text; a text is shuffled once
-    for the edit, and the part that replaces another's end once.
+    for the edit, and the part that replaces another's end once. The sums of a text stay in the task that edits it.
     """
     s = Scratch(docs.sparkSession, "fingerprints")
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -131,32 +163,39 @@ def fingerprints(docs: DataFrame, rare: float = RARE, common: float = COMMON) ->
     heads = named.select("prev", F.left("text", F.col("k")).alias("head")).groupBy("prev").agg(F.min("head").alias("head"))
     named = named.join(heads.withColumnRenamed("prev", "hid").hint("merge"), F.col("id") == F.col("hid"))
     edited = F.concat(F.left("text", F.length("text") - third), F.left("head", third))
-    full = named.select("id", "next_id", "text", edited.alias("edited")).unionByName(
-        docs.filter("id is null").select("id", F.lit(None).cast("long").alias("next_id"), "text", F.left("text", F.length("text") - third).alias("edited"))
-    )
-    both = full.select("id", "next_id", F.xxhash64("text").alias("v"), F.inline(F.array(
-        F.struct(F.lit(0).alias("kind"), F.length("text").cast("long").alias("n"), F.lit("").alias("sha"), F.col("text").alias("t")),
-        F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n"), F.sha2("edited", 256).alias("sha"), F.col("edited").alias("t")),
-    )))
-    # one row without a term for each text keeps it where no term is in the band
-    key = ["id", "next_id", "v", "kind", "n", "sha", "level", "whole"]
-    rows = held_terms(both, "t").select(*key, F.explode(F.concat(F.array(F.lit(None).cast("long")), "held")).alias("h"))
+    full = named.select("id", "next_id", "text", edited.alias("edited"))
+    alone = docs.filter("id is null").select("id", F.lit(None).cast("long").alias("next_id"), "text", F.left("text", F.length("text") - third).alias("edited"))
     known = words.withColumn("in_band", F.lit(True))
     known = F.broadcast(known) if words.count() <= MAX_BROADCAST else known
-    rows = rows.join(known, "h", "left").filter("h is null or in_band")
-    found = rows.groupBy(*key).agg(F.array_sort(F.collect_set("h")).alias("held"), F.count_if(F.col("h").isNull()).alias("copies"))
-    found = fingerprint(found)
-    found = s.keep(found, "found")
-    own = found.filter("kind = 0").select("id", "next_id", "v", "n", "f", "copies")
-    other = found.filter("kind = 1").select(F.col("id").alias("eid"), F.col("v").alias("ev"), "sha", F.col("f").alias("ef"))
-    nexts = own.filter("id is not null").groupBy("id").agg(F.min("f").alias("nf")).withColumnRenamed("id", "nid")
-    out = own.join(other, F.expr("id <=> eid and v = ev")).join(nexts, F.col("next_id") == F.col("nid"), "left")
+
+    def summed(df: DataFrame) -> DataFrame:
+        both = df.select("id", "next_id", F.xxhash64("text").alias("v"), F.inline(F.array(
+            F.struct(F.lit(0).alias("kind"), F.length("text").cast("long").alias("n"), F.lit("").alias("sha"), F.col("text").alias("t")),
+            F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n"), F.sha2("edited", 256).alias("sha"), F.col("edited").alias("t")),
+        )))
+        return _banded(both, ["id", "next_id", "v", "kind", "n", "sha"], known)
+
+    # apart, as texts with an id stand by id already and are summed without a shuffle
+    found = s.keep(summed(full).unionByName(summed(alone)), "found", codec="zstd")
+    parts = ("level", "fine", "whole")
+    own = found.filter("kind = 0").select("id", "next_id", "v", "n", "copies", *[F.col(c).alias(f"a_{c}") for c in parts])
+    named = own.filter("id is not null")
+    nexts = named.groupBy(F.col("id").alias("nid")).agg(F.min(F.struct(*[F.col(f"a_{c}").alias(c) for c in parts])).alias("least"))
+    nexts = nexts.select("nid", *[F.col(f"least.{c}").alias(f"c_{c}") for c in parts])
+    near = named.select("id", "v", "next_id", *[f"a_{c}" for c in parts]).join(nexts, F.col("next_id") == F.col("nid"))
+    for x in ("a_", "c_"):
+        near = _fixed(near, f"{x}coarse", coarse(f"{x}fine"))
+    # the terms of the next text are let go before both fingerprints of a text meet
+    near = s.keep(near.select(F.col("id").alias("nid"), F.col("v").alias("nv"), likeness("a_", "c_").alias("near_next")), "near")
+    other = found.filter("kind = 1").select(F.col("id").alias("eid"), F.col("v").alias("ev"), "sha", *[F.col(c).alias(f"b_{c}") for c in parts])
+    out = own.join(other, F.expr("id <=> eid and v = ev")).join(near, F.expr("id <=> nid and v = nv"), "left")
+    for x in ("a_", "b_"):
+        out = _fixed(out, f"{x}coarse", coarse(f"{x}fine"))
     out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"),
-        F.col("f").alias("fingerprint"), F.col("ef").alias("edited_fingerprint"),
-        likeness(F.col("f"), F.col("ef")).alias("near_edited"),
-        F.coalesce(likeness(F.col("f"), F.col("nf")), F.lit(0.0)).alias("near_next"),
+        *[fingerprint(*[f"{x}{c}" for c in ("level", "coarse", "fine", "whole")]).alias(name) for x, name in (("a_", "fingerprint"), ("b_", "edited_fingerprint"))],
+        likeness("a_", "b_").alias("near_edited"), F.coalesce("near_next", F.lit(0.0)).alias("near_next"),
     )
 
 

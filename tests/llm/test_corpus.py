@@ -202,3 +202,13 @@ def test_pieces_solved_together():
         assert abs(v.best[k] - best) < 1e-9 and (v.gap[k] == gap or abs(v.gap[k] - gap) < 1e-9)
         got = tuple(v.flat[v.start[k] : v.start[k] + v.length[k]].tolist())
         assert got == ids or gap < 1e-9
+
+
+def test_fingerprint_reads_every_term_of_the_band(spark):
+    words = ["".join(chr(97 + int(c)) for c in f"{k:03d}") for k in range(300)]
+    texts = [" ".join(words), *[" ".join(words[:k] + words[k + 1 :]) for k in range(300)], " ".join([*words, "outside"])]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(0, texts[0]), (None, texts[0])], "doc_id long, text string")
+    got = fingerprint.fingerprints(docs, rare=0.1, common=1.0).select("doc_id", "fingerprint").collect()
+    whole = {r["fingerprint"] for r in got if r["doc_id"] in (0, None, 301)}  # twice, without an id, with a term outside the band
+    assert len(got) == 304 and len(whole) == 1
+    assert len({r["fingerprint"] for r in got}) == 301
