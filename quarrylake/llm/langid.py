@@ -225,18 +225,18 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, s
     h = F.xxhash64("id")
     sample = own.filter((F.pmod(h, F.lit(max(1, n // max_docs))) == 0) & (F.length("text") <= max_chars))
     rows = sample.orderBy(h, "id", "text", "lang").limit(max_docs).collect()
-    langs = sorted({r["lang"] for r in rows})
-    counts: dict[tuple[bytes, int], int] = {}
+    seen: dict[tuple[bytes, str], int] = {}
     for r in rows:
         for w in words_of(r["text"]):
             for s in segments(letters(w)):
-                counts[s, langs.index(r["lang"])] = counts.get((s, langs.index(r["lang"])), 0) + 1
+                seen[s, r["lang"]] = seen.get((s, r["lang"]), 0) + 1
+    # a label of which no text has a letter cannot be learned, nor does it keep others from it
+    langs = sorted({lang for _, lang in seen})
+    counts = {(s, langs.index(lang)): c for (s, lang), c in seen.items()}
     model = Labeller(langs or [UNDETERMINED])
     keys = sorted(counts)
-    if keys and len(langs) > 1:
-        have = {k[1] for k in keys}
-        if len(have) == len(langs):
-            model.train([k[0] for k in keys], np.array([k[1] for k in keys]), np.array([counts[k] for k in keys], float) ** 0.75, steps)
+    if len(langs) > 1:
+        model.train([k[0] for k in keys], np.array([k[1] for k in keys]), np.array([counts[k] for k in keys], float) ** 0.75, steps)
     return model
 
 

@@ -212,3 +212,12 @@ def test_fingerprint_reads_every_term_of_the_band(spark):
     whole = {r["fingerprint"] for r in got if r["doc_id"] in (0, None, 301)}  # twice, without an id, with a term outside the band
     assert len(got) == 304 and len(whole) == 1
     assert len({r["fingerprint"] for r in got}) == 301
+
+
+def test_language_learns_beside_a_label_without_letters(spark):
+    rows = [(k, ("the cat sat on the mat", "der hund lief durch den wald", " 12 ")[k % 3], ("en", "de", "zxx")[k % 3]) for k in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, steps=100)
+    assert model.langs == ["de", "en"]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
+    assert all(got[k] == (lang if lang != "zxx" else "und") for k, _, lang in rows)
