@@ -7,6 +7,9 @@ A chunk of two or more lines whose bytes also stand in an earlier place of the c
 
 from __future__ import annotations
 
+from itertools import count, islice
+from math import gcd
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +17,14 @@ from .scratch import Scratch
 
 #: Lines that a boundary looks at, and the expected number of lines between boundaries.
 WINDOW, SPACING = 2, 3
+#: What the SQL of the query multiplies the hashes of a line and of the one before it by. The second is 0 modulo SPACING, so there a boundary is one line's hash.
+SQL_FACTORS = (1, 3)
+
+
+def factors(window: int, spacing: int) -> tuple[int, ...]:
+    """A factor for each line of the window, prime to spacing, so that every line moves the boundary."""
+    prime = (f for f in count(1) if gcd(f, spacing) == 1)
+    return tuple(islice(prime, window))
 
 
 def line_hash(line: Column) -> Column:
@@ -21,12 +32,12 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 8), 16, 10).cast("long")
 
 
-def _chunks(text: Column, window: int, spacing: int) -> list[tuple[str, Column]]:
+def _chunks(text: Column, by: tuple[int, ...], spacing: int) -> list[tuple[str, Column]]:
     """Columns that cut text to chunks, to be added one after the other."""
     lines, hashes, ends = F.col("__lines"), F.col("__hashes"), F.col("__ends")
 
     def rolled(i: Column) -> Column:
-        terms = [F.when(i >= k, F.get(hashes, i - k)).otherwise(0) * (2 * k + 1) for k in range(window)]
+        terms = [F.when(i >= k, F.get(hashes, i - k)).otherwise(0) * f for k, f in enumerate(by)]
         return F.pmod(sum(terms[1:], terms[0]), F.lit(spacing))
 
     last = F.size(lines) - 1
@@ -39,16 +50,16 @@ def _chunks(text: Column, window: int, spacing: int) -> list[tuple[str, Column]]
     ]
 
 
-def _cut(df: DataFrame, window: int, spacing: int) -> DataFrame:
+def _cut(df: DataFrame, by: tuple[int, ...], spacing: int) -> DataFrame:
     """df with the columns of _chunks. Each comes out of a generator of one row, behind which it
     is a value: folded into the lambdas that read it, it would be computed anew for each line."""
-    for name, column in _chunks(F.col("text"), window, spacing):
+    for name, column in _chunks(F.col("text"), by, spacing):
         df = df.select("*", F.explode(F.array(column)).alias(name))
     return df
 
 
-def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -> DataFrame:
-    """docs with text, n_chunks and n_removed; every row stays.
+def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING, by: tuple[int, ...] | None = None) -> DataFrame:
+    """docs with text, n_chunks and n_removed; every row stays. by are the factors of the window's lines, if not factors().
 
     A chunk is removed if it has two lines at least, is not all white space, and a chunk with the
     same bytes comes before it, in the order of doc_id (null last), hash of the document's text,
@@ -63,8 +74,9 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -
     """
     spark = docs.sparkSession
     s = Scratch(spark, "lines")
+    by = by or factors(window, spacing)
     mine = docs.withColumns({"__id": F.col("doc_id").cast("long"), "__v": F.xxhash64("text")})
-    cut = _cut(mine, window, spacing)
+    cut = _cut(mine, by, spacing)
     rows = cut.select("__id", "__v", F.posexplode("__chunks").alias("__k", "__chunk")).filter(
         F.col("__chunk").contains("\n") & F.col("__chunk").rlike(r"\S")
     )
@@ -83,14 +95,14 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -
     gone = gone.groupBy("__id", "__v").agg(F.collect_list("__k").alias("__gone")).withColumnsRenamed({"__id": "__gid", "__v": "__gv"})
     gone = s.keep(gone, "gone")
     out = mine.join(gone.hint("merge"), F.expr("__id <=> __gid and __v = __gv"), "left")
-    out = _cut(out, window, spacing)
+    out = _cut(out, by, spacing)
     n = F.coalesce(F.size("__gone"), F.lit(0))
     # a set of all positions less those gone keeps order; array_except is a hash set
     left = F.array_except(F.sequence(F.lit(0), F.size("__chunks") - 1), F.col("__gone"))
     text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(left, lambda k: F.get("__chunks", k)), "\n"))
-    count = F.when(F.col("text").isNull(), 0).otherwise(F.size("__chunks"))
+    n_chunks = F.when(F.col("text").isNull(), 0).otherwise(F.size("__chunks"))
     # written before text changes its meaning
-    out = out.withColumns({"__text": text, "__n": count.cast("long"), "__m": n.cast("long")})
+    out = out.withColumns({"__text": text, "__n": n_chunks.cast("long"), "__m": n.cast("long")})
     kept = [c for c in docs.columns if c not in ("n_chunks", "n_removed")]
     return out.select(
         *[F.col("__text").alias("text") if c == "text" else F.col(f"`{c}`") for c in kept],
@@ -100,7 +112,7 @@ def dedup_lines(docs: DataFrame, window: int = WINDOW, spacing: int = SPACING) -
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select("doc_id", "n_chunks", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+    return dedup_lines(docs, by=SQL_FACTORS).select("doc_id", "n_chunks", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 """The corpus operators on small fixtures, against brute force or exact round trips."""
 
 import hashlib
+import math
 import zlib
 
 import duckdb
@@ -221,3 +222,13 @@ def test_language_learns_beside_a_label_without_letters(spark):
     assert model.langs == ["de", "en"]
     got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(docs, model).collect()}
     assert all(got[k] == (lang if lang != "zxx" else "und") for k, _, lang in rows)
+
+
+def test_boundary_depends_on_the_line_before(spark):
+    docs = spark.createDataFrame([(k, f"{k}\nsame\nlast") for k in range(30)], "doc_id long, text string")
+    first = {k: int(hashlib.md5(str(k).encode()).hexdigest()[:8], 16) % 3 for k in range(30)}
+    got = {r["doc_id"]: r["n_chunks"] for r in linededup.dedup_lines(docs).collect()}
+    same = int(hashlib.md5(b"same").hexdigest()[:8], 16) % 3
+    assert got == {k: 1 + (first[k] == 0) + ((same + 2 * first[k]) % 3 == 0) for k in first}
+    # with the same boundary after the first line, documents differ by what comes before "same"
+    assert len({got[k] for k in first if first[k] != 0}) == 2 and all(math.gcd(f, 3) == 1 for f in linededup.factors(2, 3))
