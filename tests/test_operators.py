@@ -127,3 +127,8 @@ def test_text(spark):
         text.normal_label(F.lit(" The Cat")).alias("n"), text.first_line(F.lit("one two three\nx"), 9).alias("f"),
     ).first()
     assert row == ("rust", True, "a_b", 7200, "1970-01-01", 60, "cat", "one two...")
+
+
+def test_groups_of_a_long_chain(spark):
+    pairs = spark.createDataFrame([(k, k + 1) for k in range(40)], "a int, b int")
+    assert {r["group"] for r in memory.groups(pairs).collect()} == {0}
