@@ -185,7 +185,7 @@ def _(t):
 
 @_query("entity_resolution")
 def _(t):
-    p = t("part").filter("p_partkey <= 50").select(F.concat(F.lit("the "), F.lower("p_name")).alias("probe"))
+    p = t("part").filter("p_partkey % 100 = 0").select(F.concat(F.lit("the "), F.lower("p_name")).alias("probe"))
     return graph.resolve(p, t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")))
 
 
@@ -222,6 +222,28 @@ def _(t):
     return structure.blast_radius(_symbols(t), _call_edges(t), c).select("symbol_name", "distance")
 
 
+# the three above hold to their SQL, on the first ids; these take every id divisible by 100
+def _hundredth(t):
+    return t("part").filter("p_partkey % 100 = 0").select(F.concat(F.lit("f"), "p_partkey").alias("name"))
+
+
+@_query("callers_hundredth", f"WITH {_CODE} SELECT 'f' || d AS name, s AS id FROM e JOIN part ON s = p_partkey WHERE d % 100 = 0")
+def _(t):
+    return structure.callers(_symbols(t), _call_edges(t), _hundredth(t)).select("name", "id")
+
+
+@_query("callees_hundredth", f"WITH {_CODE} SELECT DISTINCT 'f' || s AS name, d AS id FROM e JOIN part ON d = p_partkey WHERE s % 100 = 0")
+def _(t):
+    return structure.callees(_symbols(t), _call_edges(t), _hundredth(t)).select("name", "id")
+
+
+@_query("blast_radius_hundredth", f"""
+WITH {_CODE}, one AS (SELECT DISTINCT s, 1 AS k FROM e WHERE d % 100 = 0), two AS (SELECT DISTINCT e.s, 2 AS k FROM e JOIN one ON e.d = one.s)
+SELECT 'f' || s AS symbol_name, min(k) AS distance FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY s""")
+def _(t):
+    return structure.blast_radius(_symbols(t), _call_edges(t), _hundredth(t)).select("symbol_name", "distance")
+
+
 @_query("review_context", f"""
 WITH {_CODE}, own AS (SELECT p_partkey FROM part WHERE p_brand = 'Brand#12')
 SELECT (SELECT count(*) FROM own) AS n_symbols, (SELECT count(*) FROM e JOIN own ON d = p_partkey) AS n_callers, 0::BIGINT AS n_tests, (SELECT count(*) FROM own) AS n_untested""")
@@ -286,6 +308,12 @@ def _(t):
     return tables.upsert(base, t("events").filter("event_id % 2 = 0").select("user_id", "event_type", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).drop("ts")
 
 
+@_query("upsert_all", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 UNION ALL SELECT c_custkey, 'none', 0 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
+def _(t):
+    base = t("customer").select(F.col("c_custkey").alias("user_id"), F.lit("none").alias("event_type"), F.lit(0).cast("long").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts"))
+    return tables.upsert(base, t("events").select("user_id", "event_type", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).drop("ts")
+
+
 @_query("agent_status", "SELECT user_id, arg_max(event_type, ts::VARCHAR || event_type) AS status, count(*) AS n FROM events GROUP BY user_id")
 def _(t):
     return tables.status_view(t("events"), "user_id", "ts", "event_type").drop("last_updated")
