@@ -294,6 +294,12 @@ def _(t):
     return d.select("doc_id", F.inline(kernels.chunks_udf()("text"))).select("doc_id", "chunk_index", "start_line", F.col("end_line").cast("long").alias("end_line"))
 
 
+@_query("line_chunks_all")
+def _(t):
+    # every document, also those long enough to be cut to windows, which the SQL of line_chunks leaves out
+    return t("documents").select("doc_id", F.inline(kernels.chunks_udf()("text"))).select("doc_id", "chunk_index", "start_line", F.col("end_line").cast("long").alias("end_line"))
+
+
 @_query("ledger_diff", """
 WITH x AS (SELECT page_id, length(url) AS v FROM pages WHERE page_id % 5 <> 0), y AS (SELECT page_id, length(url) + CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS v FROM pages WHERE page_id % 7 <> 0)
 SELECT coalesce(x.page_id, y.page_id) AS page_id, CASE WHEN y.page_id IS NULL THEN 'new' WHEN x.page_id IS NULL THEN 'deleted' WHEN x.v = y.v THEN 'same' ELSE 'changed' END AS state FROM x FULL JOIN y ON x.page_id = y.page_id""")
