@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
+from .scratch import Scratch, inner_names
 from .textops import between, rolling, word_hashes
 
 TARGET = 35
@@ -75,7 +75,7 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64) if values.dtype == np.uint64 else values.astype(np.int64))
 
 
-_RUNS = "id long, v int, start long, count long, short long, left long, right long, whole long"
+_RUNS = "id long, v long, start long, count long, short long, left long, right long, whole long"
 
 
 def _run_rows(target: int):
@@ -87,7 +87,7 @@ def _run_rows(target: int):
                 if got is None:
                     continue
                 m = len(got[0])
-                for p, x in zip(parts, [pa.array([i], pa.int64()).take(pa.array(np.zeros(m, np.int8))), pa.array(np.full(m, v, np.int32)), *map(_long, got)]):
+                for p, x in zip(parts, [pa.array([i], pa.int64()).take(pa.array(np.zeros(m, np.int8))), pa.array(np.full(m, v, np.int64)), *map(_long, got)]):
                     p.append(x)
             if parts[0]:
                 yield pa.RecordBatch.from_arrays([pa.concat_arrays(p) for p in parts], [c.split()[0] for c in _RUNS.split(", ")])
@@ -96,22 +96,24 @@ def _run_rows(target: int):
 
 
 def _window_rows(target: int):
-    """Rows (window, id, v, start) for the windows of the runs in columns starts and counts."""
+    """Rows (short, window, id, v, start) for the windows of the runs in columns starts, counts and shorts."""
 
     def work(batches):
         for b in batches:
-            out = [[], [], [], []]
-            for i, v, t, ss, cs in zip(*[b.column(c).to_pylist() for c in ("id", "v", "text", "starts", "counts")]):
+            out: list[list] = [[] for _ in range(5)]
+            for i, v, t, rs in zip(*[b.column(c).to_pylist() for c in ("id", "v", "text", "runs")]):
                 n, sums = _windows(t, target)
-                at = np.unique(np.concatenate([np.arange(s, s + c) for s, c in zip(ss, cs)]))
-                out[0].append(_spans(sums, at, target))
-                out[1] += [i] * len(at)
-                out[2].append(np.full(len(at), v, np.int32))
-                out[3].append(at)
-            if out[0]:
+                first, count, short = np.array([[r["start"], r["count"], r["short"]] for r in rs], np.int64).T
+                at, own = np.unique(np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum()), return_index=True)
+                out[0].append(np.repeat(short, count)[own])
+                out[1].append(_spans(sums, at, target))
+                out[2] += [i] * len(at)
+                out[3].append(np.full(len(at), v, np.int64))
+                out[4].append(at)
+            if out[1]:
+                short, window, v, at = (np.concatenate(out[k]) for k in (0, 1, 3, 4))
                 yield pa.RecordBatch.from_arrays(
-                    [_long(np.concatenate(out[0])), pa.array(out[1], pa.int64()), pa.array(np.concatenate(out[2])), _long(np.concatenate(out[3]))],
-                    ["window", "id", "v", "start"],
+                    [_long(short), _long(window), pa.array(out[2], pa.int64()), pa.array(v), _long(at)], ["short", "window", "id", "v", "start"]
                 )
 
     return work
@@ -135,8 +137,8 @@ def repeated_windows(docs: DataFrame, target: int, s: Scratch) -> DataFrame:
     doc = ["id", "v"]
     found = s.keep(docs.mapInArrow(_run_rows(target), _RUNS), "runs", arrow_rows=500)
 
-    def repeated(df: DataFrame, column: str, name: str) -> DataFrame:
-        twice = df.groupBy(column).agg(F.count("*").alias("c")).filter("c > 1").select(column)
+    def repeated(df: DataFrame, name: str, *columns: str) -> DataFrame:
+        twice = df.groupBy(*columns).agg(F.count("*").alias("c")).filter("c > 1").select(*columns)
         return s.keep(twice, name)
 
     again = found.join(repeated(found, "short", "short"), "short")
@@ -157,24 +159,27 @@ def repeated_windows(docs: DataFrame, target: int, s: Scratch) -> DataFrame:
     settled = s.keep(wholes.filter("c > 1").select("short", "whole"), "settled")
     sure = second.join(settled, ["short", "whole"], "left_semi").select(*doc, "start", "count")
     # a run of its own, and one copy of each other run around the same minimiser, window by window
-    open_runs = wholes.join(single, "short", "left_semi").select("one.*", "count")
+    open_runs = wholes.join(single, "short", "left_semi").select("one.*", "count", "short")
     open_runs = s.keep(open_runs, "open")
-    lists = open_runs.groupBy(*doc).agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
+    lists = open_runs.groupBy(*doc).agg(F.collect_list(F.struct("start", "count", "short")).alias("runs"))
     lists = s.keep(lists, "lists")
-    windows = _with_text(docs, lists).mapInArrow(_window_rows(target), "window long, id long, v int, start long")
+    windows = _with_text(docs, lists).mapInArrow(_window_rows(target), "short long, window long, id long, v long, start long")
     windows = s.keep(windows, "windows", arrow_rows=500)
-    twice = repeated(windows, "window", "window")
+    s.drop(open_runs, lists)
+    # equal windows have one minimiser, so both hashes have to repeat together
+    twice = repeated(windows, "window", "short", "window")
     # a window of one open run that stands in a settled run's copy repeats there too
-    rest = windows.join(twice, "window", "left_semi").select(*doc, "start", F.lit(1).cast("long").alias("count"))
+    rest = windows.join(twice, ["short", "window"], "left_semi").select(*doc, "start", F.lit(1).cast("long").alias("count"))
     ranges = s.keep(sure.unionByName(rest), "ranges")
+    s.drop(windows, second, wholes)
     out = ranges.groupBy(*doc).agg(F.collect_list("start").alias("starts"), F.collect_list("count").alias("counts"))
     return s.keep(out, "found")
 
 
-def _with_text(docs: DataFrame, lists: DataFrame, how: str = "inner", id: str = "id", v: str = "v") -> DataFrame:
-    right = lists.withColumnsRenamed({"id": "__rid", "v": "__rv"})
+def _with_text(docs: DataFrame, lists: DataFrame, how: str = "inner", id: str = "id", v: str = "v", rid: str = "__rid", rv: str = "__rv") -> DataFrame:
+    right = lists.withColumnsRenamed({"id": rid, "v": rv})
     # sorted at any size: a broadcast of what is found would not hold on a large corpus
-    return docs.join(right.hint("merge"), F.expr(f"{id} <=> __rid and {v} = __rv"), how).drop("__rid", "__rv")
+    return docs.join(right.hint("merge"), F.expr(f"{id} <=> {rid} and {v} = {rv}"), how).drop(rid, rv)
 
 
 def dedup_substrings(docs: DataFrame, target: int = TARGET, keep_text: bool = True) -> DataFrame:
@@ -188,20 +193,23 @@ def dedup_substrings(docs: DataFrame, target: int = TARGET, keep_text: bool = Tr
     like any other. Old columns of the new names are replaced.
 
     Rows are dealt by hashes of windows, never by document groups; counts are summed before they
-    move, and joins read written tables, so a passage of very many documents is split. Two equal
-    64-bit hashes are taken for equal windows.
+    move, and joins read written tables, so a passage of very many documents is split. Windows are
+    taken for equal where the 64-bit hashes of their words and of their minimiser's words both are,
+    which share nothing but the hashes of the words: of 1e12 different windows some 1e-7 pairs that
+    have no minimiser in common would be, and those that have one are few.
     """
     s = Scratch(docs.sparkSession, "substrings")
     names = ["n_words", "n_removed", "kept_text", "kept_sha256"]
     old = [c for c in docs.columns if c not in names]
-    mine = docs.select(F.col("doc_id").cast("long").alias("id"), F.hash("text").alias("v"), "text")
+    id, v, txt, starts, counts, rid, rv = inner_names(docs.columns, "__id", "__v", "__text", "__starts", "__counts", "__rid", "__rv")
+    mine = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("v"), "text")
     found = repeated_windows(mine, target, s)
     last = "kept_text" if keep_text else "kept_sha256"
 
     def work(batches):
         for b in batches:
             cols = [[], [], []]
-            for t, ss, cs in zip(*[b.column(c).to_pylist() for c in ("__text", "__starts", "__counts")]):
+            for t, ss, cs in zip(*[b.column(c).to_pylist() for c in (txt, starts, counts)]):
                 words, n = kept_words(t, ss, cs, target)
                 kept = b" ".join(words)
                 cols[0].append(n)
@@ -215,12 +223,11 @@ def dedup_substrings(docs: DataFrame, target: int = TARGET, keep_text: bool = Tr
     schema = docs.select(*[F.col(f"`{c}`") for c in old]).withColumns(
         {"n_words": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long"), last: F.lit(None).cast("string")}
     ).schema
-    full = docs.select(*[F.col(f"`{c}`") for c in old], F.col("doc_id").cast("long").alias("__id"), F.hash("text").alias("__v"), F.col("text").alias("__text"))
+    full = docs.select(*[F.col(f"`{c}`") for c in old], F.col("doc_id").cast("long").alias(id), F.xxhash64("text").alias(v), F.col("text").alias(txt))
     if not keep_text:
         full = full.withColumn("text", F.lit(None).cast("string"))
-    found = found.withColumnsRenamed({"starts": "__starts", "counts": "__counts"})
-    out = _with_text(full, found, "left", "__id", "__v").drop("__id", "__v").mapInArrow(work, schema)
-    return s.keep(out, "result", arrow_rows=500)
+    found = found.withColumnsRenamed({"starts": starts, "counts": counts})
+    return _with_text(full, found, "left", id, v, rid, rv).drop(id, v).mapInArrow(work, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
