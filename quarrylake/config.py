@@ -19,7 +19,9 @@ TOKENS_PER_BYTE = 0.25
 LANGUAGES = {
     "rs": "rust", "py": "python", "js": "javascript", "ts": "typescript", "jsx": "javascript", "tsx": "typescript",
     "go": "go", "java": "java", "c": "c", "cpp": "cpp", "cc": "cpp", "h": "c", "hpp": "cpp", "cs": "csharp",
-    "rb": "ruby", "php": "php", "vue": "vue", "svelte": "svelte",
+    "rb": "ruby", "php": "php", "swift": "swift", "kt": "kotlin", "scala": "scala", "sh": "shell", "bash": "shell",
+    "zsh": "shell", "sql": "sql", "md": "markdown", "yaml": "yaml", "yml": "yaml", "json": "json", "toml": "toml",
+    "xml": "xml", "html": "html", "css": "css", "scss": "scss", "vue": "vue", "svelte": "svelte",
 }
 EXCLUDED_DIRS = (
     ".git", "node_modules", "__pycache__", ".venv", "venv", "target", "build", "dist", ".next", ".nuxt", "vendor",
@@ -39,3 +41,25 @@ BUILD_FAILURES = (
     "error[E", "FAILED", "panic", "cannot find", "unresolved import", "mismatched types", "aborting due to",
     "could not compile",
 )
+# Tags of notes -> globs of the files that they are about. Users add their own.
+TAG_GLOBS = (
+    (("sqlite", "rusqlite", "database", "db"), ("src/storage/**/*.rs", "**/*sqlite*")),
+    (("axum", "http", "server", "api", "rest", "mcp"), ("src/server/**/*.rs",)),
+    (("embedding", "embeddings", "onnx", "ort"), ("src/embeddings/**/*.rs",)),
+    (("watcher", "notify", "indexer", "file-watch"), ("src/watcher/**/*.rs",)),
+    (("graph", "petgraph", "knowledge-graph"), ("src/graph/**/*.rs",)),
+    (("cargo", "rust", "rustc", "clippy"), ("*.rs", "Cargo.toml")),
+    (("git", "gitignore"), (".gitignore", "**/*.rs")),
+    (("config", "configuration", "settings"), ("src/config/**/*.rs", "**/*.toml", "**/*.json")),
+    (("test", "testing"), ("tests/**/*.rs", "src/**/*test*")),
+    (("cli", "clap", "command"), ("src/main.rs", "src/cli/**/*.rs")),
+    (("docker", "container"), ("Dockerfile", "docker-compose*.yml")),
+    (("ci", "github-actions", "pipeline"), (".github/**/*.yml",)),
+    (("serde", "json", "serialization"), ("**/*.json", "**/*.rs")),
+    (("toml", "yaml", "yml"), ("**/*.toml", "**/*.yml", "**/*.yaml")),
+    (("error", "error-handling", "thiserror", "anyhow"), ("src/error/**/*.rs", "**/*.rs")),
+    (("async", "tokio", "futures"), ("**/*.rs",)),
+)
+# Limits of texts
+INJECT_CHARS, INJECT_LEAST, INDEX_LINES, RATE_SECONDS, SETTLED_SECONDS = 2000, 50, 200, 300, 60
+CONCEPTS_OF_CHECKPOINT, EDGE_FEED = 5, 10_000

@@ -85,3 +85,90 @@ def version_triple(text: Column) -> Column:
     """Comparable struct of a semantic version."""
     p = F.split(F.regexp_replace(text, "^v", ""), r"\.")
     return F.struct(*[F.coalesce(F.get(p, i).try_cast("int"), F.lit(0)).alias(n) for i, n in enumerate(("major", "minor", "patch"))])
+
+
+def title_cut(text: Column, chars: int) -> Column:
+    """On one line, trimmed; what is longer than chars is cut, with an ellipsis behind."""
+    line = F.trim(F.translate(text, "\n", " "))
+    return F.when(F.length(line) <= chars, line).otherwise(F.concat(F.substring(line, 1, chars), F.lit("...")))
+
+
+def entry_summary(kind: Column, text: Column, tool: Column, is_error: Column) -> Column:
+    """One line on an entry of a session, by its kind."""
+    said = F.coalesce(text, F.lit(""))
+    return (
+        F.when(kind == "tool_use", F.concat(F.lit("ToolUse: "), tool))
+        .when(kind == "tool_result", F.concat(F.when(is_error, "[ERROR] ").otherwise("[OK] "), title_cut(said, 100)))
+        .when(kind == "system", F.concat(F.lit("System: "), F.coalesce(text, F.lit("(none)"))))
+        .when((kind == "assistant") & tool.isNotNull(), F.concat(title_cut(said, 80), F.lit(" [tools: "), tool, F.lit("]")))
+        .otherwise(title_cut(said, 120))
+    )
+
+
+def error_snippet(text: Column, markers: tuple[str, ...], chars: int = 200) -> Column:
+    """The first line that holds a marker, cut; null without one."""
+    return F.substring(F.get(F.filter(F.split(text, "\n"), lambda x: contains_any(x, markers)), 0), 1, chars)
+
+
+def time_ago(seconds: Column) -> Column:
+    """Seconds that passed, in words."""
+    unit, n = F.lit("second"), seconds
+    for name, length in (("minute", 60), ("hour", 3600), ("day", 86400)):
+        unit, n = F.when(seconds >= length, F.lit(name)).otherwise(unit), F.when(seconds >= length, F.floor(seconds / length)).otherwise(n)
+    many = F.when((n == 1) & (unit != "second"), "").otherwise("s")
+    return F.concat_ws(" ", n.cast("string"), F.concat(unit, many), F.lit("ago"))
+
+
+def path_name(path: Column) -> Column:
+    """A path as one name."""
+    return F.translate(path, "/", "-")
+
+
+def string_list(json: Column, key: str) -> Column:
+    """The strings under a key: of an array its strings, of an object "name: string" for each of its strings; else none."""
+    plain = F.from_json(F.get_json_object(json, f"$.{key}"), "array<variant>")
+    named = F.from_json(F.get_json_object(json, f"$.{key}"), "map<string, variant>")
+
+    def word(v: Column) -> Column:
+        return F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+    strings = F.filter(F.transform(plain, word), lambda x: x.isNotNull())
+    pairs = F.transform(F.map_entries(named), lambda e: F.when(word(e["value"]).isNotNull(), F.concat(e["key"], F.lit(": "), word(e["value"]))))
+    is_list = F.ltrim(F.get_json_object(json, f"$.{key}")).startswith("[")
+    none = F.array().cast("array<string>")
+    return F.when(is_list, F.coalesce(strings, none)).otherwise(F.coalesce(F.filter(pairs, lambda x: x.isNotNull()), none))
+
+
+def residual(json: Column, keys: tuple[str, ...]) -> Column:
+    """The object without those keys; null if it is none or nothing is left."""
+    whole = F.from_json(json, "map<string, variant>")
+    rest = F.map_filter(whole, lambda k, _: ~k.isin(*keys))
+    return F.when(F.size(rest) > 0, F.to_json(rest))
+
+
+def bullets(items: Column) -> Column:
+    return F.array_join(F.transform(items, lambda x: F.concat(F.lit("- "), x)), "\n")
+
+
+def new_id(prefix: str, *parts: Column) -> Column:
+    """An id that depends on the parts alone, so that a task that runs again makes the same."""
+    return F.concat(F.lit(prefix + "_"), F.substring(F.sha2(F.concat_ws("\x1f", *parts), 256), 1, 16))
+
+
+def agent_of(agent: Column) -> Column:
+    return F.coalesce(F.nullif(F.trim(agent), F.lit("")), F.lit("unknown"))
+
+
+def symbol_kind(kind: Column) -> Column:
+    """A stored kind; an unknown one is a function."""
+    return F.when(kind.isin("function", "method", "class", "interface", "test", "import", "call_site"), kind).otherwise("function")
+
+
+def pooled(vectors: Column, mask: Column) -> Column:
+    """The mean of the vectors whose mask is not 0, as a unit vector; zeros stay zeros."""
+    own = F.transform(F.filter(F.arrays_zip(vectors.alias("v"), mask.alias("m")), lambda x: x["m"] != 0), lambda x: x["v"])
+    width = F.coalesce(F.size(F.get(vectors, 0)), F.lit(0))
+    zero = F.transform(F.sequence(F.lit(1), F.greatest(width, F.lit(1))), lambda _: F.lit(0.0))
+    total = F.aggregate(own, zero, lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
+    norm = F.sqrt(F.aggregate(total, F.lit(0.0), lambda s, x: s + x * x))
+    return F.transform(total, lambda x: F.when(norm > 0, x / norm).otherwise(0.0))

@@ -72,21 +72,109 @@ def collect_garbage(nodes: DataFrame, edges: DataFrame, before: Column, floor: f
     return kept.drop("__linked"), e
 
 
+def _grams(text: Column) -> Column:
+    """The distinct triples of characters of a text; of shorter ones the characters."""
+    n = F.length(text)
+    triples = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3)))
+    return F.array_distinct(F.when(n >= 3, triples).when(n > 0, F.split(text, "")).otherwise(F.array().cast("array<string>")))
+
+
+def _contained(p: DataFrame, n: DataFrame) -> DataFrame:
+    """Pairs p, l of which one holds the other and is less than twice as long. What is held has all
+    its grams in what holds it, so it is looked for under its rarest gram alone. One of three
+    characters or more is also held by one of its triples; a shorter one by its characters."""
+    both = p.select(F.col("p").alias("s")).unionByName(n.select(F.col("l").alias("s"))).distinct()
+    # a holder is found by triples and, for short ones, by characters
+    every = F.array_distinct(F.concat(_grams(F.col("s")), F.when(F.length("s") < 6, F.split("s", "")).otherwise(F.array().cast("array<string>"))))
+    holds = both.select(F.col("s").alias("long"), F.explode(every).alias("g"))
+    counts = holds.groupBy("g").count()
+    rarest = both.select("s", F.explode(_grams(F.col("s"))).alias("g")).join(counts, "g").groupBy("s").agg(F.min(F.struct("count", "g")).alias("r")).select(F.col("s").alias("short"), "r.g")
+    pairs = rarest.join(holds, "g").filter((F.length("short") < F.length("long")) & (F.length("short") / F.length("long") > config.SUBSTRING_FLOOR) & F.contains(F.col("long"), F.col("short")))
+    one = pairs.select(F.col("short").alias("p"), F.col("long").alias("l"))
+    return one.unionByName(one.select(F.col("l").alias("p"), F.col("p").alias("l"))).join(p, "p", "left_semi").join(n.select("l").distinct(), "l", "left_semi")
+
+
+def _edited(p: DataFrame, n: DataFrame) -> DataFrame:
+    """Pairs p, l at most MAX_EDITS apart. Cut in one more part than there are edits, l has a part that p holds unchanged, at most MAX_EDITS places away."""
+    k = config.MAX_EDITS
+    parts = []
+    for i in range(k + 1):
+        width = F.expr(f"length(l) div {k + 1}") if i < k else F.expr(f"length(l) - {k} * (length(l) div {k + 1})")
+        parts.append(F.struct(F.length("l").alias("n"), F.lit(i).alias("i"), F.substring("l", F.expr(f"1 + {i} * (length(l) div {k + 1})"), width).alias("part")))
+    left = n.select("l").distinct().select("l", F.explode(F.array(*parts)).alias("key"))
+    sizes = p.select("p", F.explode(F.sequence(F.greatest(F.length("p") - k, F.lit(1)), F.length("p") + k)).alias("n"))
+    places = sizes.select("p", "n", F.explode(F.array(*[F.lit(i) for i in range(k + 1)])).alias("i"), F.expr(f"n div {k + 1}").alias("w"))
+    places = places.select("p", "n", "i", "w", F.explode(F.array(*[F.lit(d) for d in range(-k, k + 1)])).alias("d"))
+    width = F.when(F.col("i") < k, F.col("w")).otherwise(F.col("n") - k * F.col("w"))
+    at = F.col("i") * F.col("w") + F.col("d")
+    right = places.filter((at >= 0) & (at + width <= F.length("p"))).select("p", F.struct("n", "i", F.substring("p", at + 1, width).alias("part")).alias("key")).distinct()
+    return left.join(right, "key").select("p", "l").distinct().filter(F.levenshtein("p", "l", k) >= 0)
+
+
 def resolve(probes: DataFrame, labels: DataFrame) -> DataFrame:
-    """probes (probe) x labels (id, label) -> probe, id, label, score, tier: exact, then
-    containment with a length ratio over one half, then at most two edits. Exact matches are an
-    equi-join; only probes without one meet labels of a like length."""
-    p = probes.distinct().withColumn("p", normal_label(F.col("probe")))
-    n = labels.withColumn("l", normal_label(F.col("label")))
-    exact = p.join(n, p.p == n.l).select("probe", "id", "label", F.lit(1.0).alias("score"), F.lit(1).alias("tier"))
+    """probes (probe) x labels (id, label) -> probe, id, label, score, tier: the best match of each probe that
+    has one: exact, then containment with a length ratio over one half, then at most two edits.
+
+    Tiers are equi-joins: on the label, on the rarest gram of what is contained, on a part that
+    the edits leave; labels that are alike once normalised are compared once. Nulls match nothing."""
+    p = probes.filter("probe is not null").select("probe").distinct().withColumn("p", normal_label(F.col("probe"))).filter("p <> ''")
+    n = labels.withColumn("l", normal_label(F.col("label"))).filter("l <> ''")
+    least = n.groupBy("l").agg(F.min(F.struct("id", "label")).alias("r"))
+    exact = p.join(least, p.p == least.l).select("probe", "p", "l", F.lit(1).alias("tier"), F.lit(1.0).alias("score"))
     rest = p.join(exact.select("probe").distinct(), "probe", "left_anti")
-    short, long = F.least(F.length("p"), F.length("l")), F.greatest(F.length("p"), F.length("l"))
-    # lengths within a factor of two meet in one of three neighbouring powers
-    rest = rest.withColumn("b", F.explode(F.array(*[F.floor(F.log2(F.greatest(F.length("p"), F.lit(1)))) + k for k in (-1, 0, 1)])))
-    near = rest.join(n.withColumn("b", F.floor(F.log2(F.greatest(F.length("l"), F.lit(1))))), "b")
-    inside = (F.contains("l", F.col("p")) | F.contains("p", F.col("l"))) & (short / long > config.SUBSTRING_FLOOR)
-    edits = F.levenshtein("p", "l", config.MAX_EDITS)
-    near = near.select("probe", "id", "label", F.when(inside, short / long).when(edits >= 0, 1 - edits / long).alias("score"), F.when(inside, 2).when(edits >= 0, 3).alias("tier"))
-    both = exact.unionByName(near.filter("tier is not null").distinct())
-    best = both.groupBy("probe").agg(F.min(F.struct("tier", (-F.col("score")).alias("s"), "id", "label")).alias("r"))
-    return best.select("probe", "r.id", "r.label", (-F.col("r.s")).alias("score"), "r.tier")
+    terms = rest.select("p").distinct()
+    ratio = F.least(F.length("p"), F.length("l")) / F.greatest(F.length("p"), F.length("l"))
+    near = _contained(terms, n.select("l").distinct()).select("p", "l", F.lit(2).alias("tier"), ratio.alias("score"))
+    edits = _edited(terms, n).select("p", "l", F.lit(3).alias("tier"), (1 - F.levenshtein("p", "l") / F.greatest(F.length("p"), F.length("l"))).alias("score"))
+    found = rest.join(near.unionByName(edits), "p").select("probe", "p", "l", "tier", "score").unionByName(exact)
+    found = found.join(least, "l")
+    best = found.groupBy("probe").agg(F.min(F.struct("tier", (-F.col("score")).alias("s"), F.col("r.id").alias("id"), F.col("r.label").alias("label"))).alias("b"))
+    return best.select("probe", "b.id", "b.label", (-F.col("b.s")).alias("score"), "b.tier")
+
+
+def like_label(nodes: DataFrame, text: str) -> DataFrame:
+    """Nodes whose label holds text, any case."""
+    return nodes.filter(F.contains(F.lower("label"), F.lit(text.lower())))
+
+
+def start_nodes(nodes: DataFrame, label: str | None = None, kind: str | None = None, record: str | None = None) -> DataFrame:
+    """node, distinct: those whose label holds label, else those of the kind; and those of a record id. Without any, none."""
+    found = like_label(nodes, label) if label else nodes.filter(F.col("entity_type") == kind) if kind else nodes.filter(F.lit(False))
+    found = found.select(F.col("id").alias("node"))
+    if record:
+        found = found.unionByName(nodes.filter(F.col("record_id") == record).select(F.col("id").alias("node")))
+    return found.distinct()
+
+
+def query_graph(nodes: DataFrame, edges: DataFrame, label: str | None = None, kind: str | None = None, depth: int = 1, direction: str = "both", kinds: list[str] | None = None, min_confidence: float = 0.3, limit: int = 50) -> DataFrame:
+    """id, label, entity_type, depth: without a label the entities of the kind at depth 0; else what is reached
+    from the nodes of the label, each entity once at its least depth."""
+    if not label:
+        own = nodes.filter(F.col("entity_type") == kind) if kind else nodes
+        return own.select("id", "label", "entity_type", F.lit(0).alias("depth")).orderBy("id").limit(limit)
+    reached = expand(edges, start_nodes(nodes, label), depth, direction, kinds, min_confidence).groupBy(F.col("node").alias("id")).agg(F.min("depth").alias("depth"))
+    return reached.join(nodes.select("id", "label", "entity_type"), "id").select("id", "label", "entity_type", "depth").orderBy("depth", "id").limit(limit)
+
+
+def with_endpoints(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges with the labels of both ends; an edge that lacks an end is left out."""
+    a = nodes.select(F.col("id").alias("from_node"), F.col("label").alias("from_label"))
+    b = nodes.select(F.col("id").alias("to_node"), F.col("label").alias("to_label"))
+    return edges.join(a, "from_node").join(b, "to_node")
+
+
+def view(nodes: DataFrame, edges: DataFrame, label: str | None = None, depth: int = 1) -> tuple[DataFrame, DataFrame]:
+    """(nodes with weight, edges with weight) to be drawn: all, weighted by access; or what is around a label, by depth."""
+    if label is None:
+        return nodes.select("id", "label", "entity_type", F.col("access_count").cast("double").alias("weight")), edges.select("from_node", "to_node", "relationship", F.col("confidence").alias("weight"))
+    starts = start_nodes(nodes, label)
+    near = expand(edges, starts, depth).select(F.col("node").alias("id"), "depth").unionByName(starts.select(F.col("node").alias("id"), F.lit(0).alias("depth")))
+    near = near.groupBy("id").agg(F.min("depth").cast("double").alias("weight"))
+    return near.join(nodes.select("id", "label", "entity_type"), "id").select("id", "label", "entity_type", "weight"), subgraph(near, edges).select("from_node", "to_node", "relationship", F.col("confidence").alias("weight"))
+
+
+def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) without the nodes in gone (id) and without edges that touch them."""
+    g = gone.select("id").distinct()
+    e = edges.join(g.withColumnRenamed("id", "from_node"), "from_node", "left_anti").join(g.withColumnRenamed("id", "to_node"), "to_node", "left_anti")
+    return nodes.join(g, "id", "left_anti"), e.select(*edges.columns)

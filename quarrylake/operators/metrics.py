@@ -39,3 +39,24 @@ def p95_by_bucket(calls: DataFrame, by: list[str], bounds: tuple[float, ...] = B
 def latency_stats(calls: DataFrame, by: list[str]) -> DataFrame:
     """Exact p50, p95, p99 and maximum."""
     return calls.groupBy(*by).agg(*[F.percentile("latency_ms", q).alias(n) for n, q in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99))], F.max("latency_ms").alias("max_ms"))
+
+
+def record(totals: DataFrame, calls: DataFrame, by: list[str]) -> DataFrame:
+    """totals (by, invocations, errors, bytes, tokens) with a batch of calls added to them."""
+    new = roll_up(calls, by).select(*by, "invocations", "errors", "bytes", "tokens")
+    both = totals.select(*new.columns).unionByName(new)
+    return both.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("invocations", "errors", "bytes", "tokens")])
+
+
+def exposition(metrics: DataFrame, name: str, kind: str, labels: list[str], value: str) -> DataFrame:
+    """line: a family of metrics as text, its type first, then a line for each row, by labels."""
+    pairs = F.concat_ws(",", *[F.concat(F.lit(f'{c}="'), F.regexp_replace(F.col(c).cast("string"), r'(["\\\\])', r"\\$1"), F.lit('"')) for c in labels])
+    line = F.concat(F.lit(name + "{"), pairs, F.lit("} "), F.col(value).cast("string"))
+    head = metrics.sparkSession.createDataFrame([(0, f"# TYPE {name} {kind}")], "o int, line string")
+    return head.unionByName(metrics.select(F.lit(1).alias("o"), line.alias("line"))).orderBy("o", "line").select("line")
+
+
+def ingest_totals(report: DataFrame) -> DataFrame:
+    """One row over a report of sessions: sessions, found, stored, failed."""
+    failed = F.count_if(F.col("error").isNotNull()) if "error" in report.columns else F.lit(0).cast("long")
+    return report.agg(F.count("*").alias("sessions"), *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("found", "stored")], failed.alias("failed"))

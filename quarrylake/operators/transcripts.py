@@ -3,12 +3,14 @@ tool_name, is_error, output)."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.kernels import tool_runs
-from ..functions.text import contains_any, epoch_of
+from ..functions.text import contains_any, entry_summary, epoch_of, error_snippet, title_cut
 
 LINE = "uuid string, type string, timestamp string, sessionId string, message struct<role:string,content:variant>"
 
@@ -57,11 +59,16 @@ def failures(entries: DataFrame, look_back: int = 10) -> DataFrame:
     return e.filter("is_error").select("session_id", "n", F.coalesce(same, nearest, F.lit("unknown")).alias("tool_name"), F.substring("text", 1, 60).alias("snippet"))
 
 
-def build_failures(entries: DataFrame, markers: tuple[str, ...] = config.BUILD_FAILURES, look_ahead: int = 6, fixers: tuple[str, ...] = ("Edit", "Write", "Bash")) -> DataFrame:
-    """Results with a marker, and the first fixing tool within look_ahead rows."""
-    ahead = _order().rowsBetween(1, look_ahead)
-    e = entries.withColumn("fix", F.first(F.when(F.col("tool_name").isin(*fixers), F.col("tool_name")), ignorenulls=True).over(ahead))
-    return e.filter((F.col("kind") == "tool_result") & contains_any(F.col("text"), markers)).select("session_id", "n", "fix")
+def build_failures(entries: DataFrame, markers: tuple[str, ...] = config.BUILD_FAILURES, look_back: int = 10, look_ahead: int = 6, fixers: tuple[str, ...] = ("Edit", "Write", "Bash"), shells: tuple[str, ...] = ("Bash",)) -> DataFrame:
+    """Results of a shell that hold a marker: session_id, n, snippet (the first line with one), severity, and fix, the first
+    fixing tool within look_ahead rows. The tool of a result is the nearest one within look_back rows."""
+    ahead, back = _order().rowsBetween(1, look_ahead), _order().rowsBetween(-look_back, -1)
+    e = entries.withColumns({
+        "fix": F.first(F.when(F.col("tool_name").isin(*fixers), F.col("tool_name")), ignorenulls=True).over(ahead),
+        "tool": F.last("tool_name", ignorenulls=True).over(back),
+    })
+    bad = e.filter((F.col("kind") == "tool_result") & contains_any(F.col("text"), markers) & F.col("tool").isin(*shells))
+    return bad.select("session_id", "n", error_snippet(F.col("text"), markers).alias("snippet"), F.lit("critical").alias("severity"), "fix")
 
 
 def context(entries: DataFrame, before: int = 2, after: int = 3) -> DataFrame:
@@ -72,13 +79,53 @@ def context(entries: DataFrame, before: int = 2, after: int = 3) -> DataFrame:
 
 
 def repeated_tools(entries: DataFrame) -> DataFrame:
-    """session_id, n, length, tool_name of runs of one tool with like arguments; a session is one group of bounded length."""
+    """session_id, n, length, tool_name of runs of one tool with like arguments.
+
+    Rows of one tool that follow each other are an island; a run lies within one, so islands of RUN_LENGTH rows or more are
+    compared, each on its own, whatever the length of the session."""
+    e = entries.filter("tool_name is not null").select("session_id", "n", "tool_name", F.coalesce("text", F.lit("")).alias("text"))
+    begins = F.coalesce((F.lag("tool_name").over(_order()) != F.col("tool_name")).cast("int"), F.lit(1))
+    e = e.withColumn("begins", begins).withColumn("island", F.sum("begins").over(_order())).drop("begins")
+    e = e.withColumn("size", F.count("*").over(Window.partitionBy("session_id", "island"))).filter(F.col("size") >= config.RUN_LENGTH).drop("size")
 
     def run(pdf):
-        pdf = pdf.sort_values("n")
-        found = tool_runs(list(zip(pdf["n"], pdf["tool_name"], pdf["text"].fillna(""))))
         import pandas as pd
 
+        pdf = pdf.sort_values("n")
+        found = tool_runs(list(zip(pdf["n"], pdf["tool_name"], pdf["text"])))
         return pd.DataFrame([(pdf["session_id"].iloc[0], *f) for f in found], columns=["session_id", "n", "length", "tool_name"])
 
-    return entries.filter("tool_name is not null").select("session_id", "n", "tool_name", "text").groupBy("session_id").applyInPandas(run, "session_id string, n long, length int, tool_name string")
+    return e.groupBy("session_id", "island").applyInPandas(run, "session_id string, n long, length int, tool_name string")
+
+
+def extract_all(entries: DataFrame) -> DataFrame:
+    """What a session teaches: session_id, n, title, severity, rule. Rules in the order correction, failure, saving, repeated
+    tool, failed build; of one title in a session the first is kept, by rule and place."""
+    found = [
+        corrections(entries).select("session_id", "n", F.concat(F.lit("Correction: "), title_cut(F.col("text"), 60)).alias("title"), F.lit("warning").alias("severity"), F.lit(1).alias("rule")),
+        failures(entries).select("session_id", "n", F.concat(F.col("tool_name"), F.lit(" failed: "), title_cut(F.col("snippet"), 60)).alias("title"), F.lit("warning").alias("severity"), F.lit(2).alias("rule")),
+        saves(entries).select("session_id", "n", title_cut(F.col("text"), 80).alias("title"), F.lit("info").alias("severity"), F.lit(3).alias("rule")),
+        repeated_tools(entries).select("session_id", "n", F.concat_ws(" ", F.lit("Repeated"), "tool_name", F.col("length").cast("string")).alias("title"), F.lit("info").alias("severity"), F.lit(4).alias("rule")),
+        build_failures(entries).select("session_id", "n", F.concat(F.lit("Build failed: "), title_cut(F.col("snippet"), 60)).alias("title"), "severity", F.lit(5).alias("rule")),
+    ]
+    every = reduce(DataFrame.unionByName, found)
+    first = Window.partitionBy("session_id", "title").orderBy("rule", "n")
+    return every.withColumn("k", F.row_number().over(first)).filter("k = 1").drop("k")
+
+
+def summaries(entries: DataFrame) -> DataFrame:
+    """One line for each entry."""
+    return entries.select("session_id", "n", entry_summary(F.col("kind"), F.col("text"), F.col("tool_name"), F.col("is_error")).alias("summary"))
+
+
+def ingest(entries: DataFrame, known: DataFrame, dry_run: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(lessons to store, report): what the sessions teach, less what a known lesson (title) says already, any case; a title of several
+    sessions is stored once, for the first. The report has a row for each session: found, stored. A dry run stores nothing."""
+    found = extract_all(entries)
+    fresh = found.join(known.select(F.lower("title").alias("__t")).distinct(), F.lower("title") == F.col("__t"), "left_anti")
+    w = Window.partitionBy(F.lower("title")).orderBy("session_id", "n")
+    fresh = fresh.withColumn("k", F.row_number().over(w)).filter("k = 1").drop("k")
+    fresh = fresh.filter(F.lit(not dry_run))
+    stored = fresh.groupBy("session_id").agg(F.count("*").alias("stored"))
+    report = found.groupBy("session_id").agg(F.count("*").alias("found")).join(stored, "session_id", "left").select("session_id", "found", F.coalesce("stored", F.lit(0)).alias("stored"))
+    return fresh, report

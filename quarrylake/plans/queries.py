@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import kernels, text
+from ..functions import text
 from ..operators import graph, lookup, memory, metrics, structure, tables, transcripts, vector
 from ..shipping import ship_package
 
@@ -183,12 +183,6 @@ def _(t):
     return graph.apply_outcome(e, o).select("id", F.round("confidence", 6).alias("confidence"))
 
 
-@_query("entity_resolution")
-def _(t):
-    p = t("part").filter("p_partkey % 100 = 0").select(F.concat(F.lit("the "), F.lower("p_name")).alias("probe"))
-    return graph.resolve(p, t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label")))
-
-
 def _symbols(t):
     return t("part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("file_path"), F.concat(F.lit("f"), "p_partkey").alias("symbol_name"), F.lit("function").alias("symbol_kind"), F.lit("python").alias("language"), F.col("p_size").alias("start_line"), F.col("p_type").alias("scope"))
 
@@ -202,27 +196,17 @@ def _call_edges(t):
 _CODE = "e AS (SELECT a.l_partkey AS s, b.l_partkey AS d FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber - 1)"
 
 
-@_query("callers", f"WITH {_CODE} SELECT 'f' || d AS name, s AS id FROM e JOIN part ON s = p_partkey WHERE d <= 20")
-def _(t):
-    names = t("part").filter("p_partkey <= 20").select(F.concat(F.lit("f"), "p_partkey").alias("name"))
-    return structure.callers(_symbols(t), _call_edges(t), names).select("name", "id")
-
-
-@_query("callees", f"WITH {_CODE} SELECT DISTINCT 'f' || s AS name, d AS id FROM e JOIN part ON d = p_partkey WHERE s <= 20")
+@_query("callers", f"WITH {_CODE} SELECT 'f' || d AS name, s AS id FROM e JOIN part ON s = p_partkey JOIN part x ON d = x.p_partkey")
 def _(t):
-    names = t("part").filter("p_partkey <= 20").select(F.concat(F.lit("f"), "p_partkey").alias("name"))
-    return structure.callees(_symbols(t), _call_edges(t), names).select("name", "id")
+    return structure.callers(_symbols(t), _call_edges(t), t("part").select(F.concat(F.lit("f"), "p_partkey").alias("name"))).select("name", "id")
 
 
-@_query("blast_radius", f"""
-WITH {_CODE}, one AS (SELECT DISTINCT s, 1 AS k FROM e WHERE d <= 2), two AS (SELECT DISTINCT e.s, 2 AS k FROM e JOIN one ON e.d = one.s)
-SELECT 'f' || s AS symbol_name, min(k) AS distance FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY s""")
+@_query("callees", f"WITH {_CODE} SELECT DISTINCT 'f' || s AS name, d AS id FROM e JOIN part ON d = p_partkey JOIN part x ON s = x.p_partkey")
 def _(t):
-    c = t("part").filter("p_partkey <= 2").select(F.concat(F.lit("f"), "p_partkey").alias("name"))
-    return structure.blast_radius(_symbols(t), _call_edges(t), c).select("symbol_name", "distance")
+    return structure.callees(_symbols(t), _call_edges(t), t("part").select(F.concat(F.lit("f"), "p_partkey").alias("name"))).select("name", "id")
 
 
-# the three above hold to their SQL, on the first ids; these take every id divisible by 100
+# searches take as queries every id divisible by 100
 def _hundredth(t):
     return t("part").filter("p_partkey % 100 = 0").select(F.concat(F.lit("f"), "p_partkey").alias("name"))
 
@@ -282,24 +266,6 @@ def _(t):
     return t("labels").select("doc_id", F.round(memory.relevance(sev, (F.col("doc_id") % 60).cast("double")), 6).alias("score"))
 
 
-@_query("budget_selection")
-def _(t):
-    n = t("labels").join(t("documents"), "doc_id").select("source", F.col("doc_id").alias("id"), F.col("quality").cast("double").alias("score"), F.col("n_chars").alias("chars"), (F.col("toxic") == 1).alias("critical"))
-    return memory.select_within(n, 100, ["source"])
-
-
-@_query("line_chunks", "SELECT doc_id, 0 AS chunk_index, 1 AS start_line, len(string_split(rtrim(text, chr(10)), chr(10))) AS end_line FROM documents WHERE len(string_split(text, chr(10))) <= 100 AND len(text) > 0")
-def _(t):
-    d = t("documents").filter((F.size(F.split("text", "\n")) <= 100) & (F.length("text") > 0))
-    return d.select("doc_id", F.inline(kernels.chunks_udf()("text"))).select("doc_id", "chunk_index", "start_line", F.col("end_line").cast("long").alias("end_line"))
-
-
-@_query("line_chunks_all")
-def _(t):
-    # every document, also those long enough to be cut to windows, which the SQL of line_chunks leaves out
-    return t("documents").select("doc_id", F.inline(kernels.chunks_udf()("text"))).select("doc_id", "chunk_index", "start_line", F.col("end_line").cast("long").alias("end_line"))
-
-
 @_query("ledger_diff", """
 WITH x AS (SELECT page_id, length(url) AS v FROM pages WHERE page_id % 5 <> 0), y AS (SELECT page_id, length(url) + CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS v FROM pages WHERE page_id % 7 <> 0)
 SELECT coalesce(x.page_id, y.page_id) AS page_id, CASE WHEN y.page_id IS NULL THEN 'new' WHEN x.page_id IS NULL THEN 'deleted' WHEN x.v = y.v THEN 'same' ELSE 'changed' END AS state FROM x FULL JOIN y ON x.page_id = y.page_id""")
@@ -308,12 +274,6 @@ def _(t):
     return tables.diff(p.filter("page_id % 5 <> 0"), p.filter("page_id % 7 <> 0").withColumn("v", F.col("v") + F.when(F.col("page_id") % 3 == 0, 1).otherwise(0)), "page_id", ("v",))
 
 
-@_query("upsert_latest", "SELECT user_id, event_type, event_id FROM events WHERE event_id % 2 = 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 UNION ALL SELECT c_custkey, 'none', 0 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE event_id % 2 = 0)")
-def _(t):
-    base = t("customer").select(F.col("c_custkey").alias("user_id"), F.lit("none").alias("event_type"), F.lit(0).cast("long").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts"))
-    return tables.upsert(base, t("events").filter("event_id % 2 = 0").select("user_id", "event_type", "event_id", "ts"), ["user_id"], [F.desc("ts"), F.desc("event_id")]).drop("ts")
-
-
 @_query("upsert_all", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1 UNION ALL SELECT c_custkey, 'none', 0 FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)")
 def _(t):
     base = t("customer").select(F.col("c_custkey").alias("user_id"), F.lit("none").alias("event_type"), F.lit(0).cast("long").alias("event_id"), F.lit(None).cast("timestamp_ntz").alias("ts"))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config
@@ -10,26 +12,155 @@ from ..functions.text import excluded, language_of
 from ..operators.memory import parse_memory
 
 
-def scan(spark: SparkSession, root: str, max_bytes: int = config.MAX_FILE_BYTES) -> DataFrame:
-    """path, mtime, size, language, content, hash of the code files under root."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+def ignore_regex(pattern: str) -> tuple[bool, str] | None:
+    """(whether it re-includes, regular expression over a path relative to the folder of the ignore file) of a line; null for blanks and comments."""
+    line = pattern.rstrip("\n\r")
+    line = re.sub(r"(?<!\\) +$", "", line)
+    if not line or line.startswith("#"):
+        return None
+    again, line = line.startswith("!"), line[1:] if line.startswith("!") else line
+    folder, line = line.endswith("/"), line.rstrip("/")
+    anchored, line = "/" in line, line.lstrip("/")
+    out, k = "", 0
+    while k < len(line):
+        if line.startswith("**/", k):
+            out, k = out + "(?:.*/)?", k + 3
+        elif line.startswith("/**", k) and k + 3 == len(line):
+            out, k = out + "/.*", k + 3
+        elif line[k] == "*":
+            out, k = out + "[^/]*", k + 1
+        elif line[k] == "?":
+            out, k = out + "[^/]", k + 1
+        elif line[k] == "[" and "]" in line[k + 2 :]:
+            end = line.index("]", k + 2)
+            body = line[k + 1 : end]
+            out, k = out + "[" + ("^" + body[1:] if body[0] in "!^" else body).replace("\\", "\\\\") + "]", end + 1
+        elif line[k] == "\\" and k + 1 < len(line):
+            out, k = out + re.escape(line[k + 1]), k + 2
+        else:
+            out, k = out + re.escape(line[k]), k + 1
+    # a folder takes all below it; a name without a slash may stand at any depth
+    return again, ("^" if anchored else "^(?:.*/)?") + out + ("/.*$" if folder else "(?:/.*)?$")
+
+
+def ignored(rel: Column, rules: list[tuple[str, str]]) -> Column:
+    """Whether a relative path is ignored by rules (folder of the ignore file, line): the last that fits decides."""
+    out = F.lit(False)
+    for folder, line in rules:
+        made = ignore_regex(line)
+        if made is None:
+            continue
+        base = folder.strip("/") + "/" if folder.strip("/") else ""
+        inside = F.startswith(rel, F.lit(base)) & F.rlike(F.substring(rel, len(base) + 1, 1 << 20), F.lit(made[1]))
+        out = F.when(inside, F.lit(not made[0])).otherwise(out)
+    return out
+
+
+def hidden(rel: Column) -> Column:
+    return F.exists(F.split(rel, "/"), lambda p: p.startswith("."))
+
+
+def ignore_rules(spark: SparkSession, root: str, folders: list[str] | None = None) -> list[tuple[str, str]]:
+    """(folder, line) of the ignore files of a tree, outer folders first and .ignore behind .gitignore. Spark lists no hidden
+    files, so they are opened by their paths, in each folder that holds a code file or lies above one. Folders and lines come to
+    the driver: they are what people make."""
+    if folders is None:
+        folders = [r["f"] for r in _listed(spark, root).select(F.regexp_replace(_relative(root), "/?[^/]*$", "").alias("f")).distinct().collect()]
+    every = {""} | {"/".join(f.split("/")[:k]) for f in folders if f for k in range(1, f.count("/") + 2)}
+    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
+    for folder in sorted(every, key=lambda f: (f.count("/") + bool(f), f)):
+        for name in (".gitignore", ".ignore"):
+            path = jvm.org.apache.hadoop.fs.Path("/".join(x for x in (root.rstrip("/"), folder, name) if x))
+            system = path.getFileSystem(conf)
+            if system.exists(path):
+                stream = system.open(path)
+                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+                stream.close()
+                out += [(folder, line) for line in text.split("\n")]
+    return out
+
+
+def _listed(spark: SparkSession, root: str) -> DataFrame:
+    """The files under root whose names have a known extension, in any case."""
+    ends = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in config.LANGUAGES)
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ends + "}").load(root)
+
+
+def _relative(root: str) -> Column:
     at = F.regexp_extract("path", r"^\w+:/*(/.*)$", 1)
-    relative = F.regexp_replace(at, "^" + root.replace("file://", "").rstrip("/") + "/", "")
-    files = files.filter(F.col("length") <= max_bytes).withColumns({"rel": relative, "language": language_of(F.col("path"))})
-    files = files.filter(F.col("language").isNotNull() & ~excluded(F.col("rel")))
+    base = re.sub(r"^\w+:/*(?=/)", "", root).rstrip("/") + "/"
+    return F.when(F.startswith(at, F.lit(base)), F.substring(at, len(base) + 1, 1 << 20)).otherwise(at)
+
+
+def scan(spark: SparkSession, root: str, max_bytes: int = config.MAX_FILE_BYTES, ignore_files: bool = True) -> DataFrame:
+    """path, mtime, size, language, content, hash of the code files under root that are no larger than max_bytes.
+
+    Hidden files and folders, excluded folders and what ignore files name are left out. Only names
+    with a known extension, in any case, are listed for reading, so other files are never opened."""
+    files = _listed(spark, root)
+    files = files.filter(F.col("length") <= max_bytes).withColumns({"rel": _relative(root), "language": language_of(F.col("path"))})
+    files = files.filter(F.col("language").isNotNull() & ~excluded(F.col("rel")) & ~hidden(F.col("rel")))
+    if ignore_files:
+        files = files.filter(~ignored(F.col("rel"), ignore_rules(spark, root)))
     text = F.col("content").cast("string")
     return files.select(F.col("rel").alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), "language", text.alias("content"), F.sha2("content", 256).alias("hash"))
 
 
-def session_logs(spark: SparkSession, folder: str, modified_after: str | None = None) -> DataFrame:
-    """value, line_no, file of the *.jsonl files of a folder."""
-    r = spark.read.option("pathGlobFilter", "*.jsonl").option("wholetext", True)
+def scan_report(spark: SparkSession, root: str, max_bytes: int = config.MAX_FILE_BYTES) -> DataFrame:
+    """One row: files found that are neither hidden nor ignored, those a scan takes, those it skips. No content is read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_relative(root).alias("rel"), "length", language_of(F.col("path")).alias("language"))
+    files = files.filter(~hidden(F.col("rel")) & ~excluded(F.col("rel")) & ~ignored(F.col("rel"), ignore_rules(spark, root)))
+    takes = F.coalesce(F.col("language").isNotNull() & (F.col("length") <= max_bytes), F.lit(False))
+    return files.agg(F.count("*").alias("found"), F.count_if(takes).alias("queued"), F.count_if(~takes).alias("skipped"))
+
+
+def session_logs(spark: SparkSession, folder: str, modified_after: str | None = None, modified_before: str | None = None) -> DataFrame:
+    """value, line_no, file of the *.jsonl files of a folder. A log is split by lines where it is read, not held as one string;
+    line_no orders the lines of a file. modified_before leaves out files that may still grow."""
+    r = spark.read.option("pathGlobFilter", "*.jsonl")
     r = r.option("modifiedAfter", modified_after) if modified_after else r
-    whole = r.text(folder).withColumn("file", F.col("_metadata.file_path"))
-    return whole.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
+    r = r.option("modifiedBefore", modified_before) if modified_before else r
+    # the place of a line: its split's offset in the file, then its number there
+    lines = r.text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("m"))
+    return lines.select("file", F.struct("at", "m").alias("p"), "value").withColumn("line_no", F.row_number().over(_by_place()) - 1).select("file", "line_no", "value")
+
+
+def _by_place():
+    from pyspark.sql import Window
+
+    return Window.partitionBy("file").orderBy("p")
 
 
 def memory_files(spark: SparkSession, folder: str) -> DataFrame:
     """name, description, type, content of the *.md files of a folder; files without front matter are left out."""
-    raw = spark.read.option("pathGlobFilter", "*.md").option("wholetext", True).text(folder)
+    raw = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
     return raw.select(*[c.alias(k) for k, c in parse_memory(F.col("value")).items()]).filter("name is not null and description is not null and type is not null")
+
+
+def known_names(spark: SparkSession, folder: str) -> DataFrame:
+    """name: those of the memory files of a folder, each once; none where the folder is not there."""
+    try:
+        return memory_files(spark, folder).select("name").distinct()
+    except Exception as e:
+        if "PATH_NOT_FOUND" in str(e):
+            return spark.createDataFrame([], "name string")
+        raise
+
+
+def seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """title, severity, tags, tools, concepts, problem, content of the *.md seed lessons of a folder."""
+    raw = spark.read.option("pathGlobFilter", "*.md").text(folder, wholetext=True)
+    head = F.regexp_extract("value", r"(?s)^---\n(.*?)\n---", 1)
+    one = lambda k: F.nullif(F.regexp_replace(F.regexp_extract(head, rf"(?m)^{k}: *(.*)$", 1), "^[\"']|[\"']$", ""), F.lit(""))
+    bare = lambda x: F.regexp_replace(F.trim(x), "^[\"']|[\"']$", "")
+    many = lambda k: F.filter(F.transform(F.split(F.regexp_extract(head, rf"(?m)^{k}: *\[(.*)\]", 1), ","), bare), lambda x: x != "")
+    body = F.regexp_extract("value", r"(?s)^---\n.*?\n---\n*(.*?)\s*$", 1)
+    return raw.select(one("title").alias("title"), one("severity").alias("severity"), *[many(k).alias(k) for k in ("tags", "tools", "concepts")], one("problem").alias("problem"), body.alias("content")).filter("title is not null")
+
+
+def import_seeds(lessons: DataFrame, seed: DataFrame, force: bool = False) -> DataFrame:
+    """lessons with the seeds whose exact title they lack; with force the seeds replace the lessons of their titles."""
+    titles = seed.select("title").distinct()
+    if force:
+        return lessons.join(titles, "title", "left_anti").unionByName(seed, allowMissingColumns=True)
+    return lessons.unionByName(seed.join(lessons.select("title").distinct(), "title", "left_anti"), allowMissingColumns=True)

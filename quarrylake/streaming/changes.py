@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from .. import config
 
 
 def coalesce_changes(events: DataFrame) -> DataFrame:
@@ -13,10 +16,56 @@ def coalesce_changes(events: DataFrame) -> DataFrame:
     return each.groupBy(F.col("p").alias("path")).agg(F.max_by("o", F.struct("seq", "o")).alias("op"))
 
 
-def rate_limited(stream: DataFrame, key: str, at: str, seconds: int = 300, late: str = "10 minutes") -> DataFrame:
-    """At most one row per key in each span of seconds, by event time; state is dropped with the watermark."""
-    s = stream.withWatermark(at, late).withColumn("__slot", F.window(at, f"{seconds} seconds")["start"])
-    return s.dropDuplicatesWithinWatermark([key, "__slot"]).drop("__slot")
+def rate_limited(stream: DataFrame, key: str, at: str, seconds: int = config.RATE_SECONDS, late: str = "10 minutes") -> DataFrame:
+    """Rows that come at least seconds behind the last one that was let through of their key, by event time within a
+    batch; the others are dropped. The state of a key is one time, kept until the watermark is seconds past it."""
+    schema, names = stream.schema, stream.columns
+
+    def run(keys, frames, state: GroupState):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            state.remove()
+            return
+        last = state.get[0] if state.exists else None
+        for pdf in (pd.concat(list(frames)).sort_values(at, kind="stable"),):
+            keep = []
+            for t in (pdf[at].astype("int64") // 1000).tolist():
+                through = last is None or t - last >= seconds * 1_000_000
+                last = t if through else last
+                keep.append(through)
+            yield pdf[keep][names]
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last // 1000 + seconds * 1000, state.getCurrentWatermarkMs() + 1))
+
+    s = stream.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, late)
+    return s.groupBy(key).applyInPandasWithState(run, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def debounced(stream: DataFrame, key: str, at: str, quiet: str = "500 milliseconds", late: str = "1 second") -> DataFrame:
+    """key, at, n: one row for each burst of a key's rows, once it has been quiet, with its last time."""
+    burst = stream.withWatermark(at, late).groupBy(F.session_window(at, quiet), key)
+    return burst.agg(F.max(at).alias(at), F.count("*").alias("n")).select(key, at, "n")
+
+
+def settled(files: DataFrame, at: str, now: Column, seconds: int = config.SETTLED_SECONDS) -> DataFrame:
+    """Files that were not changed for seconds: the others may still be written."""
+    return files.filter(F.col(at) <= now - F.expr(f"INTERVAL {seconds} SECONDS"))
+
+
+def session_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """value, file of new *.jsonl files of a folder, as a stream."""
+    return spark.readStream.option("pathGlobFilter", "*.jsonl").text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
+
+
+def daemon(stream: DataFrame, ingest, sync, folder: str, trigger: dict):
+    """Each micro-batch of session lines is ingested, then what it touched is synced; restarts go on from folder."""
+
+    def step(batch: DataFrame, i: int) -> None:
+        ingest(batch, i)
+        sync(batch.select("file").distinct(), i)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", folder).trigger(**trigger).start()
 
 
 def activity(stream: DataFrame, at: str, kind: str, span: str = "1 hour", late: str = "10 minutes") -> DataFrame:
