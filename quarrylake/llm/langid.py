@@ -1,37 +1,48 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-The network reads the bytes of each word (a run of letters, lower-cased, UTF-8) in both
-directions and labels every position; what a word says is the mean log probability of its
-positions, and a document pools the words of its whole text. Words are read once for each
-worker, however often they stand in the texts. Training is plain numpy: backpropagation through
-time with Adam, on words of a bounded sample of labelled documents.
+The network reads the UTF-8 bytes of whole texts, blanks and punctuation included, in windows of
+CONTEXT bytes, in both directions, and labels every position: a probability for each language and
+one for no language. A document's probabilities are the means over all its positions. Training is
+plain numpy: backpropagation through time with Adam, on windows of a bounded sample of labelled
+documents; what "no language" looks like is learned from the same windows with their bytes shuffled.
+
+Gates and candidates use x / (1 + |x|) in place of the exponential functions, which halves the
+time of a step. Arrays have one row per unit and one column per window.
 """
 
 from __future__ import annotations
 
 import re
 import uuid
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-
-#: Training reads at most MAX_DOCS labelled documents (by hash of doc_id) of at most MAX_CHARS characters.
-MAX_DOCS, MAX_CHARS = 3000, 20_000
-#: A word of more bytes is read in pieces of so many.
-SEGMENT, HIDDEN, STEPS, BATCH = 20, 16, 1500, 256
+from .caches import claim
+
+#: Training reads, of each of the MAX_LANGS most frequent languages, at most MAX_DOCS labelled documents
+#: (by hash of doc_id), and of each of these at most MAX_CHARS characters.
+MAX_LANGS, MAX_DOCS, MAX_CHARS = 256, 600, 4000
+#: Bytes of a window when predicting and when training, units of a direction, steps, windows of a step.
+CONTEXT, TRAIN_CONTEXT, HIDDEN, STEPS, BATCH = 128, 64, 8, 400, 256
+#: Windows that are read at once.
+WINDOWS = 1024
 UNDETERMINED = "und"
-#: The pipeline rejects documents without a letter and those whose score is below this.
-MIN_SCORE = 0.3
-_WORD = re.compile(r"[^\W\d_]+")
+#: The pipeline rejects documents without a letter and those whose best language has less than a third of the probability.
+MIN_SCORE = 1 / 3
+_LETTER = re.compile(r"[^\W\d_]")
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def _soft(x: np.ndarray) -> np.ndarray:
+    """x / (1 + |x|), in place."""
+    d = np.abs(x)
+    d += 1
+    x /= d
+    return x
 
 
 class GRU:
@@ -40,116 +51,130 @@ class GRU:
     def __init__(self, rng: np.random.Generator, hidden: int):
         self.h = hidden
         self.p = {
-            "w": rng.normal(0, 0.3, (256, 3 * hidden)).astype(np.float32),
-            "u": rng.normal(0, hidden**-0.5, (hidden, 2 * hidden)).astype(np.float32),
+            "w": rng.normal(0, 0.3, (3 * hidden, 256)).astype(np.float32),
+            "u": rng.normal(0, hidden**-0.5, (2 * hidden, hidden)).astype(np.float32),
             "v": rng.normal(0, hidden**-0.5, (hidden, hidden)).astype(np.float32),
-            "b": np.zeros(3 * hidden, np.float32),
+            "b": np.zeros((3 * hidden, 1), np.float32),
         }
 
     def forward(self, x: np.ndarray, keep: bool = False):
-        """x (n, T) bytes -> states (T, n, h). Rows are left-aligned; what follows an end is not read by callers."""
-        k, (n, t) = self.h, x.shape
-        h, out, cache = np.zeros((n, k), np.float32), np.empty((t, n, k), np.float32), []
-        table = self.p["w"] + self.p["b"]
+        """x (T, n) bytes -> states (T, h, n), and with keep what backward needs."""
+        k, (t, n) = self.h, x.shape
+        h, out, cache = np.zeros((k, n), np.float32), np.empty((t, k, n), np.float32), []
+        table = np.ascontiguousarray(self.p["w"] + self.p["b"])
+        g = np.empty((3 * k, n), np.float32)
         for i in range(t):
-            g = table[x[:, i]]
-            zr = _sigmoid(g[:, : 2 * k] + h @ self.p["u"])
-            z, r = zr[:, :k], zr[:, k:]
-            c = np.tanh(g[:, 2 * k :] + (r * h) @ self.p["v"])
+            np.take(table, x[i], axis=1, out=g, mode="clip")
+            a = self.p["u"] @ h
+            a += g[: 2 * k]
+            s = _soft(a)
+            gate = (s + 1) * np.float32(0.5)
+            z, r = gate[:k], gate[k:]
+            c = self.p["v"] @ (r * h)
+            c += g[2 * k :]
+            c = _soft(c)
             if keep:
-                cache.append((h, z, r, c))
+                cache.append((h, s, gate, c))
             h = c + z * (h - c)
             out[i] = h
         return (out, cache) if keep else out
 
     def backward(self, x: np.ndarray, cache, grad: np.ndarray) -> dict[str, np.ndarray]:
-        """Gradients of all weights, given those of the states, back through time."""
+        """Gradients of all weights, given those of the states (T, h, n), back through time."""
         k = self.h
         out = {n: np.zeros_like(w) for n, w in self.p.items()}
+        each = np.empty((len(x), 3 * k, x.shape[1]), np.float32)
         dh = np.zeros_like(grad[0])
-        for i in range(x.shape[1] - 1, -1, -1):
-            h, z, r, c = cache[i]
+        for i in range(len(x) - 1, -1, -1):
+            h, s, gate, c = cache[i]
+            z, r = gate[:k], gate[k:]
             dh = dh + grad[i]
-            dc = dh * (1 - z) * (1 - c * c)
-            dz = dh * (h - c) * z * (1 - z)
-            drh = dc @ self.p["v"].T
-            dr = drh * h * r * (1 - r)
-            dzr = np.concatenate([dz, dr], 1)
-            out["v"] += (r * h).T @ dc
-            out["u"] += h.T @ dzr
-            g = np.concatenate([dzr, dc], 1)
-            np.add.at(out["w"], x[:, i], g)
-            out["b"] += g.sum(0)
-            dh = dh * z + drh * r + dzr @ self.p["u"].T
+            dc = dh * (1 - z) * (1 - np.abs(c)) ** 2
+            drh = self.p["v"].T @ dc
+            dgate = np.concatenate([dh * (h - c), drh * h]) * np.float32(0.5) * (1 - np.abs(s)) ** 2
+            out["v"] += dc @ (r * h).T
+            out["u"] += dgate @ h.T
+            each[i, : 2 * k], each[i, 2 * k :] = dgate, dc
+            dh = dh * z + drh * r + self.p["u"].T @ dgate
+        flat = each.transpose(1, 0, 2).reshape(3 * k, -1)
+        for j in range(3 * k):
+            out["w"][j] = np.bincount(x.ravel(), flat[j], 256)
+        out["b"] = flat.sum(1, keepdims=True)
         return out
 
 
 class Labeller:
-    """Two GRUs and a softmax at every position."""
+    """Two GRUs and a softmax at every position; the last class is no language."""
 
     def __init__(self, langs: list[str], hidden: int = HIDDEN, seed: int = 7):
         rng = np.random.default_rng(seed)
         self.langs = langs
         self.fore, self.back = GRU(rng, hidden), GRU(rng, hidden)
-        self.out = {"w": rng.normal(0, 0.1, (2 * hidden, len(langs))).astype(np.float32), "b": np.zeros(len(langs), np.float32)}
-
-    @staticmethod
-    def layout(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Bytes (n, T), their mask, and where each position stands when the row is reversed."""
-        length = np.fromiter(map(len, words), np.int64, len(words))
-        t = int(length.max())
-        x = np.zeros((len(words), t), np.uint8)
-        mask = np.arange(t) < length[:, None]
-        x[mask] = np.frombuffer(b"".join(words), np.uint8)
-        turn = np.where(mask, length[:, None] - 1 - np.arange(t), np.arange(t))
-        return x, mask, turn
-
-    def positions(self, x: np.ndarray, turn: np.ndarray, keep: bool = False):
-        """Log probabilities (n, T, languages)."""
-        rev = np.take_along_axis(x, turn, 1)
-        f, b = self.fore.forward(x, keep), self.back.forward(rev, keep)
-        (f, fc), (b, bc) = (f, b) if keep else ((f, None), (b, None))
-        rows = np.arange(len(x))[:, None]
-        h = np.concatenate([f.transpose(1, 0, 2), b.transpose(1, 0, 2)[rows, turn]], 2)
-        o = h @ self.out["w"] + self.out["b"]
-        o -= o.max(2, keepdims=True)
-        o -= np.log(np.exp(o).sum(2, keepdims=True))
-        return (o, h, rev, fc, bc) if keep else o
-
-    def words(self, words: list[bytes]) -> np.ndarray:
-        """(n, languages): mean over each word's positions."""
-        out = np.zeros((len(words), len(self.langs)), np.float32)
-        order = np.argsort(np.fromiter(map(len, words), np.int64, len(words)), kind="stable")
-        for lo in range(0, len(order), 1024):
-            own = order[lo : lo + 1024]
-            x, mask, turn = self.layout([words[i] for i in own])
-            o = self.positions(x, turn)
-            out[own] = (o * mask[:, :, None]).sum(1) / mask.sum(1, keepdims=True)
-        return out
+        self.out = {"w": rng.normal(0, 0.1, (len(langs) + 1, 2 * hidden)).astype(np.float32), "b": np.zeros((len(langs) + 1, 1), np.float32)}
 
-    def train(self, words: list[bytes], lang: np.ndarray, weight: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.01, seed: int = 11) -> None:
-        """Cross-entropy at every position; each language is drawn equally often."""
+    def positions(self, x: np.ndarray, keep: bool = False):
+        """x (T, n) bytes -> probabilities (T, classes, n)."""
+        f, b = self.fore.forward(x, keep), self.back.forward(x[::-1], keep)
+        (f, fc), (b, bc) = (f, b) if keep else ((f, None), (b, None))
+        h = np.concatenate([f, b[::-1]], 1)
+        o = self.out["w"] @ h
+        o += self.out["b"]
+        o -= o.max(1, keepdims=True)
+        np.exp(o, out=o)
+        o /= o.sum(1, keepdims=True)
+        return (o, h, fc, bc) if keep else o
+
+    def texts(self, texts: list[bytes], context: int = CONTEXT) -> np.ndarray:
+        """(n, classes): means over all positions of non-empty texts."""
+        size = np.fromiter(map(len, texts), np.int64, len(texts))
+        windows = -(-size // context)
+        sums = np.zeros((int(windows.sum()), len(self.langs) + 1))
+        data = np.zeros((len(sums), context), np.uint8)
+        real = np.arange(context) < np.minimum(context, np.repeat(size, windows) - context * (np.arange(len(sums)) - np.repeat(np.cumsum(windows) - windows, windows)))[:, None]
+        data[real] = np.frombuffer(b"".join(texts), np.uint8)
+        for lo in range(0, len(sums), WINDOWS):
+            x = np.ascontiguousarray(data[lo : lo + WINDOWS].T)
+            o = self.positions(x.astype(np.intp))
+            o *= np.ascontiguousarray(real[lo : lo + WINDOWS].T)[:, None, :]
+            sums[lo : lo + WINDOWS] = o.sum(0, dtype=np.float64).T
+        return np.add.reduceat(sums, np.cumsum(windows) - windows) / size[:, None]
+
+    def train(self, texts: list[bytes], lang: np.ndarray, steps: int = STEPS, batch: int = BATCH, rate: float = 0.02, seed: int = 11) -> None:
+        """Cross-entropy at every position; each language is drawn equally often, and no language once for each two of them."""
         rng = np.random.default_rng(seed)
-        k = len(self.langs)
-        by = [np.flatnonzero(lang == i) for i in range(k)]
-        odds = [np.cumsum(weight[o]) / weight[o].sum() for o in by]
+        k, t = len(self.langs), TRAIN_CONTEXT
+        by = []
+        for i in range(k):
+            own = [np.frombuffer(x, np.uint8) for x, j in zip(texts, lang) if j == i]
+            flat = np.concatenate(own)
+            begin = np.concatenate([[0], np.cumsum([len(x) for x in own])])
+            by.append((flat, begin))
         params = [self.fore.p, self.back.p, self.out]
         m1, m2 = ([{n: np.zeros_like(w) for n, w in p.items()} for p in params] for _ in range(2))
+        each = max(1, batch // (k + max(1, k // 2)))
         for step in range(1, steps + 1):
-            pick = np.concatenate([o[np.searchsorted(c, rng.random(batch // k))] for o, c in zip(by, odds)])
-            x, mask, turn = self.layout([words[i] for i in pick])
-            o, h, rev, fc, bc = self.positions(x, turn, keep=True)
-            d = np.exp(o)
-            d[np.arange(len(x)), :, lang[pick]] -= 1
-            d *= mask[:, :, None] / mask.sum()
-            dh = d @ self.out["w"].T
+            rows, want = [], []
+            for i, (flat, begin) in enumerate(by):
+                at = rng.integers(0, len(flat), each)
+                end = begin[np.searchsorted(begin, at, "right")]
+                place = at[:, None] + np.arange(t)
+                rows.append(np.where(place < end[:, None], flat[np.minimum(place, len(flat) - 1)], 0))
+                want += [i] * each
+            noise = np.concatenate(rows)[rng.permutation(each * k)[: each * max(1, k // 2)]]
+            rows.append(rng.permuted(noise, axis=1))
+            want += [k] * len(noise)
+            x = np.concatenate(rows)
+            mask = (x != 0).T
+            x, want = np.ascontiguousarray(x.T).astype(np.intp), np.array(want)
+            o, h, fc, bc = self.positions(x, keep=True)
+            o[:, want, np.arange(len(want))] -= 1
+            o *= (mask / max(1, mask.sum())).astype(np.float32)[:, None, :]
+            dh = self.out["w"].T @ o
             n = self.fore.h
-            back = np.zeros_like(dh[:, :, n:])
-            back[np.arange(len(x))[:, None], turn] = dh[:, :, n:]
             grads = [
-                self.fore.backward(x, fc, np.ascontiguousarray(dh[:, :, :n].transpose(1, 0, 2))),
-                self.back.backward(rev, bc, np.ascontiguousarray(back.transpose(1, 0, 2))),
-                {"w": np.tensordot(h, d, ((0, 1), (0, 1))), "b": d.sum((0, 1))},
+                self.fore.backward(x, fc, np.ascontiguousarray(dh[:, :n])),
+                self.back.backward(x[::-1], bc, np.ascontiguousarray(dh[::-1, n:])),
+                {"w": np.einsum("tcn,thn->ch", o, h, optimize=True), "b": o.sum((0, 2))[:, None]},
             ]
             now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
             for p, g, a, b in zip(params, grads, m1, m2):
@@ -159,58 +184,9 @@ class Labeller:
                     p[name] -= now * (a[name] / (1 - 0.9**step)) / (np.sqrt(b[name] / (1 - 0.999**step)) + 1e-8)
 
 
-def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
-
-
-def letters(word: str) -> bytes:
-    """The word's letters; what re counts to a word beside them is dropped."""
-    return (word if word.isalpha() else "".join(c for c in word if c.isalpha())).encode("utf-8", "replace")
-
-
-def segments(data: bytes) -> list[bytes]:
-    return [data[i : i + SEGMENT] for i in range(0, len(data), SEGMENT)]
-
-
-class Scorer:
-    """Words' scores, kept by each worker; bounded like a WordMemo."""
-
-    LIMIT = 400_000
-
-    def __init__(self, model: Labeller):
-        self.model = model
-        self.clear()
-
-    def clear(self) -> None:
-        self.code: dict[str, int] = {}
-        self.table = np.zeros((0, len(self.model.langs)), np.float32)
-        self.real = np.zeros(0, bool)
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.code]
-        if len(self.code) + len(new) > self.LIMIT:
-            self.clear()
-            new = list(words)
-        if not new:
-            return
-        parts = [segments(letters(w)) for w in new]
-        flat = list(chain.from_iterable(parts))
-        sums = np.zeros((len(flat) + 1, len(self.model.langs)), np.float64)
-        if flat:
-            np.cumsum(self.model.words(flat), axis=0, out=sums[1:])
-        ends = np.cumsum([0, *map(len, parts)])
-        self.code.update(zip(new, range(len(self.table), len(self.table) + len(new))))
-        self.table = np.concatenate([self.table, (sums[ends[1:]] - sums[ends[:-1]]).astype(np.float32)])
-        self.real = np.concatenate([self.real, np.diff(ends) > 0])
-
-    def document(self, words: list[str]) -> tuple[str, float]:
-        codes = np.fromiter(map(self.code.__getitem__, words), np.int64, len(words))
-        if not self.real[codes].any():
-            return UNDETERMINED, 0.0
-        pooled = self.table[codes].sum(0, dtype=np.float64)
-        odds = np.exp(pooled - pooled.max())
-        best = int(np.argmax(odds))
-        return self.model.langs[best], float(odds[best] / odds.sum())
+def encoded(text: str | None) -> bytes:
+    """The bytes that the network reads; none for a text without a letter. 0 stands for what follows an end."""
+    return text.encode("utf-8", "replace").replace(b"\0", b" ") if text and _LETTER.search(text) else b""
 
 
 def held_out(doc_id):
@@ -218,76 +194,89 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, steps: int = STEPS) -> Labeller:
-    """Train on documents with text, doc_id and lang that are not held out."""
-    own = docs.select(F.col("doc_id").alias("id"), "lang", "text").filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")))
-    n = own.count()
+def sample(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS) -> list:
+    """Rows lang, text of labelled documents with letters that are not held out: each language's own, max_docs at most.
+
+    What is sorted of a language is twice max_docs on average, however many documents it has."""
+    own = docs.select(F.col("doc_id").alias("id"), F.col("lang").cast("string").alias("lang"), "text")
+    own = own.filter(F.col("id").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("id")) & F.col("text").rlike(r"\p{L}"))
+    counts = {r["lang"]: r["count"] for r in own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()}
+    if not counts:
+        return []
     h = F.xxhash64("id")
-    sample = own.filter((F.pmod(h, F.lit(max(1, n // max_docs))) == 0) & (F.length("text") <= max_chars))
-    rows = sample.orderBy(h, "id", "text", "lang").limit(max_docs).collect()
-    seen: dict[tuple[bytes, str], int] = {}
-    for r in rows:
-        for w in words_of(r["text"]):
-            for s in segments(letters(w)):
-                seen[s, r["lang"]] = seen.get((s, r["lang"]), 0) + 1
-    # a label of which no text has a letter cannot be learned, nor does it keep others from it
-    langs = sorted({lang for _, lang in seen})
-    counts = {(s, langs.index(lang)): c for (s, lang), c in seen.items()}
-    model = Labeller(langs or [UNDETERMINED])
-    keys = sorted(counts)
-    if len(langs) > 1:
-        model.train([k[0] for k in keys], np.array([k[1] for k in keys]), np.array([counts[k] for k in keys], float) ** 0.75, steps)
+    parts = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, max(1, n // (2 * max_docs)))])
+    some = own.filter(F.col("lang").isin(*counts)).filter(F.pmod(h, F.try_element_at(parts, "lang")) == 0)
+    some = some.withColumns({"text": F.substring("text", 1, max_chars), "h": h})
+    some = some.withColumn("k", F.row_number().over(W.partitionBy("lang").orderBy("h", "id", "text"))).filter(F.col("k") <= max_docs)
+    return some.select("lang", "text", "k").orderBy("lang", "k").collect()
+
+
+def fit(docs: DataFrame, max_docs: int = MAX_DOCS, max_chars: int = MAX_CHARS, steps: int = STEPS) -> Labeller:
+    """Train on documents with text, doc_id and lang that are not held out. A label of which no text has a
+    letter cannot be learned and keeps no other from it; without any label nothing is trained, and all is undetermined."""
+    rows = [(r["lang"], encoded(r["text"])) for r in sample(docs, max_docs, max_chars)]
+    rows = [r for r in rows if r[1]]
+    langs = sorted({lang for lang, _ in rows})
+    model = Labeller(langs)
+    if langs:
+        model.train([t for _, t in rows], np.array([langs.index(lang) for lang, _ in rows]), steps)
     return model
 
 
-_scorers: dict[str, Scorer] = {}
+def judge(texts: list[str | None], model: Labeller, bytes_at_once: int = 500_000) -> list[tuple[str, float]]:
+    """(language, score) of each text."""
+    out, data, lo = [(UNDETERMINED, 0.0)] * len(texts), [encoded(t) for t in texts], 0
+    own = [k for k, d in enumerate(data) if d] if model.langs else []
+    while lo < len(own):
+        hi, size = lo, 0
+        while hi < len(own) and (hi == lo or size + len(data[own[hi]]) <= bytes_at_once):
+            size += len(data[own[hi]])
+            hi += 1
+        found = model.texts([data[k] for k in own[lo:hi]])[:, :-1]
+        best = found.argmax(1)
+        for k, j, p in zip(own[lo:hi], best.tolist(), found[np.arange(len(best)), best].tolist()):
+            out[k] = model.langs[j], min(1.0, p)
+        lo = hi
+    return out
 
 
-def scorer_of(run: str, sent) -> Scorer:
-    """The worker's scorer of this run, kept from task to task."""
-    if run not in _scorers:
-        _scorers.clear()
-        _scorers[run] = Scorer(sent.value)
-    return _scorers[run]
+_models: dict[str, Labeller] = {}
 
 
-def predict(docs: DataFrame, model: Labeller, chars: int = 2_000_000) -> DataFrame:
+def predict(docs: DataFrame, model: Labeller) -> DataFrame:
     """docs -> all its rows and columns with lang_pred and score; lang, source and doc_id are not looked at.
 
-    A null text, an empty one and one without a letter are "und" with score 0. Else score is the
-    share of the best language among the pooled document probabilities. Repeated rows get equal
-    results. Old columns of the two names are replaced.
+    A null text, an empty one and one without a letter are "und" with score 0. Else lang_pred is the
+    language of greatest mean probability over all bytes of the whole text, and score that mean: it
+    is low where languages mix and where the text is like none. Repeated rows get equal results.
+    Old columns of the two names are replaced. Very long texts are read some thousand windows at a time.
     """
     spark = docs.sparkSession
     ship_package(spark)
-    sent = spark.sparkContext.broadcast(model)  # some tens of thousand weights
+    sent = spark.sparkContext.broadcast(model)  # some thousand weights
     run = uuid.uuid4().hex
     old = [c for c in docs.columns if c not in ("lang_pred", "score")]
 
     def work(batches):
-        scorer = scorer_of(run, sent)
+        claim("language", _models.clear)
+        if run not in _models:
+            _models.clear()
+            _models[run] = sent.value
         for b in batches:
-            texts, found, lo = b.column("__text").to_pylist(), [], 0
-            while lo < len(texts):
-                hi, size = lo, 0
-                while hi < len(texts) and (hi == lo or size + len(texts[hi] or "") <= chars):
-                    size += len(texts[hi] or "")
-                    hi += 1
-                words = [words_of(t) for t in texts[lo:hi]]
-                scorer.learn(set(chain.from_iterable(words)))
-                found += map(scorer.document, words)
-                lo = hi
+            # the text is the last column, whatever the others are called
+            found = judge(b.column(b.num_columns - 1).to_pylist(), _models[run])
             yield pa.RecordBatch.from_arrays(
-                [*[b.column(c) for c in old], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
+                [*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())],
                 [*old, "lang_pred", "score"],
             )
 
     mine = docs.select(*[F.col(f"`{c}`") for c in old])
     schema = mine.withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
-    return mine.withColumn("__text", F.col("text")).mapInArrow(work, schema)
+    return docs.select(*[F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(old)], F.col("text").alias("t")).mapInArrow(work, schema)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; the model is trained on those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     model = fit(docs)
     slim = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
@@ -295,9 +284,14 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; rejected ones go."""
+    """Documents whose language can be told; lang is filled in where it is null.
+
+    Rejected are texts that are null, empty or without a letter, and those of which the best language
+    has less than MIN_SCORE of the probability. Repeated rows share a fate; no documents give none."""
     found = predict(docs, fit(docs))
-    return found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    found = found.filter((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= MIN_SCORE))
+    lang = F.coalesce(F.col("lang"), F.col("lang_pred")).alias("lang")
+    return found.select(*[lang if c == "lang" else F.col(f"`{c}`") for c in docs.columns])
 
 
 ORACLE = None
