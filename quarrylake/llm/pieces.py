@@ -18,11 +18,14 @@ import re
 from itertools import chain
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
+from .caches import claim
+from .textops import HashTable, rolling, word_sums
 from .wordmemo import vocabulary_path
 
 NBEST = 4
@@ -33,7 +36,7 @@ _UNIT = re.compile(rf"{MARK}+[^{MARK}]*|[^{MARK}]+")
 class Vocabulary:
     """Pieces with scores, and what is known of the units seen so far; all of it bounded."""
 
-    LIMIT = 600_000
+    LIMIT = 400_000
 
     def __init__(self, path: str | None, nbest: int):
         import sentencepiece
@@ -46,7 +49,14 @@ class Vocabulary:
         self.floor = min(known) - 10.0
         self.score = {p: max(model.get_score(i), self.floor) for p, i in self.id.items()}
         self.byte = {int(model.id_to_piece(i)[3:5], 16): i for i in range(model.get_piece_size()) if model.is_byte(i)}
-        self.text = {i: p.replace(MARK, " ").encode() for p, i in self.id.items()} | {i: bytes([b]) for b, i in self.byte.items()}
+        text = {i: p.replace(MARK, " ").encode() for p, i in self.id.items()} | {i: bytes([b]) for b, i in self.byte.items()}
+        shown = [text.get(i, b"") for i in range(model.get_piece_size())]
+        self.text_bytes, self.text_length = np.frombuffer(b"".join(shown), np.uint8), np.array(list(map(len, shown)), np.int64)
+        self.text_start = np.cumsum(self.text_length) - self.text_length
+        if any(MARK in p[1:].lstrip(MARK) or (p.strip(MARK) and p.startswith(MARK * 2)) or "\n" in p for p in self.id):
+            raise ValueError("a piece has a mark or a newline inside, so words are not segmented apart with this vocabulary")
+        if len(self.byte) < 256:
+            raise ValueError("the vocabulary lacks pieces for bytes")
         self.begins = {p[:k] for p in self.id for k in range(1, len(p) + 1)}
         # every beginning of a piece; what is no piece itself stands for nothing
         self.table = {p: (self.score[p], (self.id[p],)) if p in self.id else () for p in self.begins}
@@ -64,7 +74,7 @@ class Vocabulary:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code, self.names = HashTable(self.LIMIT), []
         self.best = self.gap = np.zeros(0)
         self.flat, self.start, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -209,22 +219,17 @@ class Vocabulary:
         at = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.inside]
         return [unit[i:j] for i, j in zip([0, *at], [*at, len(unit)])]
 
-    def learn(self, units: set[str]) -> None:
-        """Call with all units of a batch before they are looked up."""
-        new = [u for u in units if u not in self.code]
-        if len(self.code) + len(new) > self.LIMIT:
-            self.clear()
-            new = list(units)
-        if not new:
-            return
-        # sets have no order of their own; long units go one by one, as all would wait for them
-        short = [u for u in new if len(u) <= 64]
-        whole, best, gap, flat, length = self.solve(short)
-        rest = [u for u in new if len(u) > 64] + [short[k] for k in np.flatnonzero(~whole)]
-        new = [short[k] for k in np.flatnonzero(whole)] + rest
+    def _learn(self, new: list[str], keys: np.ndarray) -> None:
+        # long units go one by one, as all would wait for them
+        short = np.array([len(u) <= 64 for u in new])
+        few = np.flatnonzero(short)
+        whole, best, gap, flat, length = self.solve([new[k] for k in few])
+        order = np.concatenate([few[whole], np.flatnonzero(~short), few[~whole]])
+        rest = [new[k] for k in order[whole.sum() :]]
         found = [[self.part(p) for p in self.cut(u)] for u in rest]
         ids = [[i for p in f for i in p[2]] for f in found]
-        self.code.update(zip(new, range(len(self.code), len(self.code) + len(new))))
+        self.code.add(keys[order])
+        self.names += [new[k] for k in order]
         self.best = np.concatenate([self.best, best, [sum(p[0] for p in f) for f in found]])
         self.gap = np.concatenate([self.gap, gap, [min(p[1] for p in f) for f in found]])
         length = np.append(length, np.array(list(map(len, ids)), np.int64))
@@ -232,6 +237,66 @@ class Vocabulary:
         self.length = np.append(self.length, length)
         self.flat = np.concatenate([self.flat, flat, np.fromiter(chain.from_iterable(ids), np.int32)])
 
+    def codes(self, keys: np.ndarray, name) -> np.ndarray:
+        """Codes of units by their keys; name(k) is the k-th unit. Units that are new are learned. Codes
+        hold until more are asked for: with LIMIT units known, all are forgotten first."""
+        if self.code.n > self.LIMIT:
+            self.clear()
+        found = self.code.find(keys)
+        lacking = np.flatnonzero(found < 0)
+        if len(lacking):
+            new, first = np.unique(keys[lacking], return_index=True)
+            if self.code.n + len(new) > 3 * self.LIMIT:  # a batch of very many new units
+                self.clear()
+                new, first = np.unique(keys, return_index=True)
+                lacking, self.code = np.arange(len(keys)), HashTable(max(self.LIMIT, len(new)))
+            self._learn([name(k) for k in lacking[first].tolist()], new)
+            found = self.code.find(keys)
+        return found
+
+    def codes_of(self, units: list[str]) -> np.ndarray:
+        """Codes of units, in which the first mark counts apart from the rest."""
+        marked = np.array([u.startswith(MARK) for u in units], bool)
+        body = [(u[1:] if m else u).encode("utf-8", "replace") for u, m in zip(units, marked)]
+        ends = np.cumsum(np.fromiter(map(len, body), np.int64, len(body)))
+        sums = rolling(np.frombuffer(b"".join(body), np.uint8).astype(np.uint64) + np.uint64(1))
+        return self.codes(unit_keys(sums, np.concatenate([[0], ends[:-1]]).astype(np.int64), ends, marked), units.__getitem__)
+
+    def codes_of_texts(self, texts: list[str]) -> list[np.ndarray]:
+        """Codes of the units of each text. Where each mark is one space before a word, units are found on bytes."""
+        out: list = [None] * len(texts)
+        plain = [k for k, t in enumerate(texts) if t and not (t[-1] == " " or MARK in t or "  " in t or t[0] in " \n" or " \n" in t)]
+        slow = [k for k, t in enumerate(texts) if t and k not in set(plain)] if len(plain) < len(texts) else []
+        units = [units_of(texts[k]) for k in slow]
+        data = b" " + b" ".join([texts[k].encode("utf-8", "replace") for k in plain])
+        raw = np.frombuffer(data, np.uint8)
+        line = raw == 10
+        gap = line | (raw == 32)
+        begin, end = line.copy(), line.copy()
+        begin[1:] |= ~gap[1:] & gap[:-1]
+        end[:-1] |= ~gap[:-1] & gap[1:]
+        end[-1] |= ~gap[-1]
+        begin, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        marked = raw[begin - 1] == 32
+        keys = unit_keys(rolling(raw.astype(np.uint64) + np.uint64(1)), begin, end, marked)
+        flat = [u for us in units for u in us]
+        more = np.array([u.startswith(MARK) for u in flat], bool)
+        body = [(u[1:] if m else u).encode("utf-8", "replace") for u, m in zip(flat, more)]
+        ends = np.cumsum(np.fromiter(map(len, body), np.int64, len(body)))
+        sums = rolling(np.frombuffer(b"".join(body), np.uint8).astype(np.uint64) + np.uint64(1))
+        keys = np.concatenate([keys, unit_keys(sums, np.concatenate([[0], ends[:-1]]).astype(np.int64)[: len(ends)], ends, more)])
+
+        def name(k: int) -> str:
+            return (MARK if marked[k] else "") + data[begin[k] : end[k]].decode() if k < len(begin) else flat[k - len(begin)]
+
+        codes = self.codes(keys, name)
+        sizes = np.cumsum([1 + len(texts[k].encode("utf-8", "replace")) for k in plain]) + 1 if plain else np.zeros(0, np.int64)
+        for k, c in zip(plain, np.split(codes[: len(begin)], np.searchsorted(begin, sizes)[:-1])):
+            out[k] = c
+        for k, c in zip(slow, np.split(codes[len(begin) :], np.cumsum([len(u) for u in units])[:-1]) if slow else []):
+            out[k] = c
+        return [np.zeros(0, np.int64) if c is None else c for c in out]
+
     def list_of(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
         found = self.lists.get(unit)
         if found is None:
@@ -240,35 +305,51 @@ class Vocabulary:
             found = self.lists[unit] = self.search(unit, self.nbest)
         return found
 
-    def encode(self, units: list[str]) -> tuple[np.ndarray, list[tuple[float, int, tuple[tuple[int, int], ...]]]]:
-        """Ids of the best segmentation of learned units, and the N best as (score, pieces, ((unit, choice), ...)).
+    def encode(self, codes: np.ndarray) -> tuple[list[np.ndarray], list[float]]:
+        """Ids of the N best segmentations of a text, given its units' codes, best first, and their scores.
 
         A hypothesis that deviates in a unit outside the N-1 of smallest gaps is beaten by the
         best one and by deviating in each of those, so they alone are looked at."""
-        if not units:
-            return np.zeros(0, np.int32), [(0.0, 0, ())]
-        codes = np.fromiter(map(self.code.__getitem__, units), np.int64, len(units))
+        if not len(codes):
+            return [np.zeros(0, np.int32)], [0.0]
         length = self.length[codes]
-        ids = self.flat[np.repeat(self.start[codes] - (np.cumsum(length) - length), length) + np.arange(length.sum())]
+        ends = np.cumsum(length)
+        ids = self.flat[np.repeat(self.start[codes] - (ends - length), length) + np.arange(ends[-1])]
         gaps, n = self.gap[codes], self.nbest
         near = np.argpartition(gaps, n - 1)[: n - 1] if len(gaps) > n else np.arange(len(gaps))
         near = [int(k) for k in near[np.lexsort((near, gaps[near]))][: n - 1] if math.isfinite(gaps[k])]
         best: list[tuple[float, int, tuple[tuple[int, int], ...]]] = [(0.0, len(ids), ())]
         for k in near:
-            choices = self.list_of(units[k])
+            choices = self.list_of(self.names[codes[k]])
             top, pieces = choices[0][0], len(choices[0][1])
             # at most n prefixes survive a unit, so n * n sums are looked at
             best = heapq.nsmallest(
                 n, ((c + top - s, m + len(i) - pieces, (*w, (k, j)) if j else w) for c, m, w in best for j, (s, i) in enumerate(choices))
             )
         base = float(self.best[codes].sum())
-        return ids, [(base - c, m, w) for c, m, w in best]
+        out = []
+        for _, _, changes in best:
+            parts, at = [], 0
+            for k, j in sorted(changes):
+                parts += [ids[at : ends[k] - length[k]], np.array(self.list_of(self.names[codes[k]])[j][1], np.int32)]
+                at = ends[k]
+            out.append(np.concatenate([*parts, ids[at:]]) if parts else ids)
+        return out, [base - c for c, _, _ in best]
+
+
+_MARKED = np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def unit_keys(sums: np.ndarray, start: np.ndarray, end: np.ndarray, marked: np.ndarray) -> np.ndarray:
+    """64-bit hashes of units, none 0, given the rolling sums of the bytes behind their first mark."""
+    return np.maximum(word_sums(sums, start, end) ^ (marked * _MARKED), np.uint64(1))
 
 
 _vocabularies: dict[tuple[str | None, int], Vocabulary] = {}
 
 
 def vocabulary(path: str | None = None, nbest: int = NBEST) -> Vocabulary:
+    claim("pieces", _vocabularies.clear)
     if (path, nbest) not in _vocabularies:
         _vocabularies[path, nbest] = Vocabulary(path, nbest)
     return _vocabularies[path, nbest]
@@ -290,24 +371,21 @@ def _lines(unit: str) -> list[str]:
     return [unit] if "\n" not in unit else [p for p in re.split("(\n)", unit) if p]
 
 
-def alternative(units: list[str], v: Vocabulary, choice: tuple[tuple[int, int], ...]) -> list[int]:
-    """Ids of one of the N best of learned units."""
-    pick = dict(choice)
-    return [i for k, u in enumerate(units) for i in (v.list_of(u)[pick[k]][1] if k in pick else v.encode([u])[0].tolist())]
-
-
-def decode(ids, v: Vocabulary) -> str:
+def decode(ids: np.ndarray, v: Vocabulary) -> str:
     """The text of ids: bytes are joined, marks are spaces, the first space is dropped."""
-    text = b"".join(map(v.text.__getitem__, ids)).decode("utf-8", "replace")
+    length = v.text_length[ids]
+    ends = np.cumsum(length)
+    at = np.repeat(v.text_start[ids] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+    text = v.text_bytes[at].tobytes().decode("utf-8", "replace")
     return text[1:] if text[:1] == " " else text
 
 
 def encode_documents(docs: DataFrame, nbest: int = NBEST, path: str | None = None) -> DataFrame:
-    """docs (doc_id, text, ...) -> doc_id, ids, nbest_scores, nbest_pieces, n_pieces, decoded, a row for each row.
+    """docs (doc_id, text, ...) -> doc_id, nbest_ids, nbest_scores, n_pieces, decoded, a row for each row.
 
-    ids are the best segmentation's; nbest_scores and nbest_pieces (numbers of pieces) describe
-    the N best, best first; decoded is the text of ids. A null text gives nulls, an empty one no
-    ids and one hypothesis of score 0. A literal mark U+2581 in a text decodes to a space, as in
+    nbest_ids are the ids of the N best segmentations, best first, and nbest_scores their scores;
+    n_pieces and decoded are the number of ids and the text of the best. A null text gives nulls,
+    an empty one no ids and one hypothesis of score 0. A literal mark U+2581 in a text decodes to a space, as in
     the library. Repeated rows and null doc_ids are rows like others. Other columns are not read.
     """
     ship_package(docs.sparkSession)
@@ -319,30 +397,57 @@ def encode_documents(docs: DataFrame, nbest: int = NBEST, path: str | None = Non
             for lo in range(0, b.num_rows, 200):
                 part = b.slice(lo, 200)
                 texts = part.column("text").to_pylist()
-                units = [units_of(t or "") for t in texts]
-                v.learn(set(chain.from_iterable(units)))
-                cols: list[list] = [[] for _ in range(5)]
-                for t, u in zip(texts, units):
-                    ids, best = v.encode(u)
-                    row = (ids, [x[0] for x in best], [x[1] for x in best], len(ids), decode(ids.tolist(), v)) if t is not None else (None,) * 5
-                    for c, x in zip(cols, row):
-                        c.append(x)
-                kinds = [pa.list_(pa.int32()), pa.list_(pa.float64()), pa.list_(pa.int64()), pa.int64(), pa.string()]
+                codes = v.codes_of_texts([t or "" for t in texts])
+                lists, scores, sizes, decoded = [], [], [], []
+                for t, u in zip(texts, codes):
+                    ids, best = v.encode(u) if t is not None else ([], [])
+                    lists += ids
+                    scores += best
+                    sizes.append(len(ids))
+                    decoded.append(None if t is None else decode(ids[0], v))
+                null = np.array([t is None for t in texts], bool)
+                each = np.fromiter(map(len, lists), np.int32, len(lists))
+                outer = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                inner = np.concatenate([[0], np.cumsum(each)]).astype(np.int32)
+                flat = pa.array(np.concatenate([*lists, np.zeros(0, np.int32)]).astype(np.int32))
+                mask = pa.array(null)
+                ids = pa.ListArray.from_arrays(pa.array(outer), pa.ListArray.from_arrays(pa.array(inner), flat), mask=mask)
+                n = pa.array(np.append(each, 0)[np.minimum(outer[:-1], len(each))].astype(np.int64), mask=null)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *[pa.array(c, k) for c, k in zip(cols, kinds)]],
-                    ["doc_id", "ids", "nbest_scores", "nbest_pieces", "n_pieces", "decoded"],
+                    [part.column("doc_id"), ids, pa.ListArray.from_arrays(pa.array(outer), pa.array(scores, pa.float64()), mask=mask), n, pa.array(decoded, pa.string())],
+                    ["doc_id", "nbest_ids", "nbest_scores", "n_pieces", "decoded"],
                 )
 
-    return docs.mapInArrow(run, "doc_id long, ids array<int>, nbest_scores array<double>, nbest_pieces array<long>, n_pieces long, decoded string")
+    return docs.mapInArrow(run, "doc_id long, nbest_ids array<array<int>>, nbest_scores array<double>, n_pieces long, decoded string")
+
+
+def decode_ids(rows: DataFrame, ids: str = "ids", path: str | None = None) -> DataFrame:
+    """rows with decoded, the text of the ids in a column of arrays; null for null or where an id is no piece or null.
+
+    All rows and columns stay; an old column decoded is replaced."""
+    ship_package(rows.sparkSession)
+
+    @F.pandas_udf("string")
+    def text(column: pd.Series) -> pd.Series:
+        v = vocabulary(path)
+        most = len(v.text_length)
+
+        def one(x):
+            if x is None or any(i is None or not 0 <= i < most for i in x):
+                return None
+            return decode(np.asarray(x, np.int64), v)
+
+        return column.map(one)
+
+    return rows.withColumn("decoded", text(F.col(ids)))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents: digests of their N best id lists and of the text that the best decodes to."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    out = encode_documents(docs)
-    return out.select(
-        "doc_id", "n_pieces", F.xxhash64("ids").alias("ids_hash"),
-        "nbest_scores", "nbest_pieces", F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    return encode_documents(docs).select(
+        "doc_id", "n_pieces", F.xxhash64("nbest_ids").alias("nbest_ids_hash"), "nbest_scores", F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
 ORACLE = None
