@@ -1,7 +1,7 @@
 """Packing of documents into sequences of bounded length.
 
 Documents are cut at whole windows; what is left over has a length below the window. Lengths are
-counted in BINS bins. Combinations of up to DEPTH bins that fill a window exactly are enumerated,
+counted in at most BINS bins of equal width, rounded up, so that bins that fill a window fit it. Combinations of up to DEPTH bins that fill a window exactly are enumerated,
 non-negative least squares solves how often to repeat each so that together they use up the
 histogram, and the rounded-down repeats are taken. A greedy pass over the histogram packs the
 residual, largest first. Only the histogram, of fixed size, comes to the driver; the plan tells
@@ -23,8 +23,8 @@ from .wordmemo import token_batches
 
 WINDOW, DEPTH, BINS = 2048, 3, 256
 END_ID = 1
-#: Each bin's pieces are ranked in so many parts, so that a bin with most of the pieces is not one task.
-SALTS = 512
+#: Pieces that are ranked together, about; a bin of more is ranked in parts, however many it takes.
+RANKED = 200_000
 
 
 def combinations(bins: int = BINS, depth: int = DEPTH) -> list[tuple[int, ...]]:
@@ -113,10 +113,10 @@ def _pieces(window: int, path: str | None):
         for b in batches:
             cols: list[list[int]] = [[] for _ in range(5)]
             for i, ids in zip(b.column("id").to_pylist(), token_batches(b.column("text").to_pylist(), path)):
-                ids = np.append(ids, np.uint32(END_ID)).astype("<u4")
+                ids = np.append(ids, np.uint32(END_ID)).astype("<u4", copy=False)
                 for s in range(0, len(ids), window):
                     part = ids[s : s + window]
-                    for c, x in zip(cols, (i, s, len(part), zlib.crc32(part.tobytes()), len(ids))):
+                    for c, x in zip(cols, (i, s, len(part), zlib.crc32(part), len(ids))):
                         c.append(x)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["id", "start", "length", "crc", "tokens"])
 
@@ -130,24 +130,37 @@ def pack(docs: DataFrame, window: int = WINDOW, path: str | None = None, scratch
     one id. Rows that repeat a doc_id and null ones are packed each by itself. Ties are ordered by
     all columns, so a task that runs again gives the same places. Pieces stand in a sequence
     without gaps; a sequence is at most window ids long, and what is missing is padding at its
-    end. Other columns are not read. path is the tokenizer file.
+    end. No documents give no piece. Other columns are not read. path is the tokenizer file.
+
+    Only counts of pieces by bin and part come to the driver: two numbers for each RANKED pieces and each bin.
     """
+    if window < 2:
+        raise ValueError("a window has two ids at least")
     s = scratch or Scratch(docs.sparkSession, "packing")
     width = -(-window // BINS)
+    bins = window // width
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     pieces = s.keep(docs.mapInArrow(_pieces(window, path), "id long, start long, length long, crc long, tokens long"), "pieces", arrow_rows=500)
-    salt = F.pmod(F.xxhash64("id", "start", "crc"), F.lit(SALTS)).cast("int")
-    pieces = pieces.withColumns({"bin": F.ceil(F.col("length") / width).cast("int"), "salt": salt})
-    table = np.zeros((BINS + 1, SALTS), np.int64)
+    # what is longer than all bins together, by less than a bin, fills a window alone
+    pieces = pieces.withColumn("bin", F.least(F.ceil(F.col("length") / width), F.lit(bins)).cast("int"))
+    sizes = np.zeros(bins + 1, np.int64)
+    for r in pieces.groupBy("bin").count().toPandas().itertuples(index=False):
+        sizes[r[0]] = r[1]
+    parts = 1 + sizes // RANKED
+    first = np.cumsum(parts) - parts
+    salts = F.get(F.array(*[F.lit(int(p)) for p in parts]), F.col("bin"))
+    pieces = pieces.withColumn("salt", F.pmod(F.xxhash64("id", "start", "crc"), salts).cast("int"))
+    table = np.zeros(int(parts.sum()), np.int64)
     for r in pieces.groupBy("bin", "salt").count().toPandas().itertuples(index=False):
-        table[r[0], r[1]] = r[2]
-    before = np.cumsum(table, axis=1) - table
-    keys, base, per, slot = _segments(plan(table.sum(1)))
+        table[first[r[0]] + r[1]] = r[2]
+    before = np.cumsum(table) - table
+    before -= np.repeat(before[first], parts)
+    keys, base, per, slot = _segments(plan(sizes))
 
     def place(batches):
         for b in batches:
             at = b.column("bin").to_numpy()
-            rank = b.column("rank").to_numpy() - 1 + before[at, b.column("salt").to_numpy()]
+            rank = b.column("rank").to_numpy() - 1 + before[first[at] + b.column("salt").to_numpy()]
             k = np.searchsorted(keys[:, 0] * (1 << 44) + keys[:, 1], at.astype(np.int64) * (1 << 44) + rank, "right") - 1
             j = rank - keys[k, 1]
             cols = [b.column(c) for c in ("id", "start", "length", "crc", "tokens")]
@@ -181,10 +194,12 @@ def _segments(steps: list[tuple[dict[int, int], int]]):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in sequences of WINDOW ids."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents' sequences; nulls, empty and very long texts, repeated rows and names are as in pack."""
     return pack(docs)
 
 
