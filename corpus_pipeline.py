@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarrylake.llm import langid, linededup, minhash, packing, substring
-from quarrylake.llm.scratch import Scratch
+from quarrylake.llm.scratch import Scratch, passing
 
 STAGES = [
     ("language_id", langid.stage),
@@ -25,9 +25,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir, each written before the next reads it."""
+    """All stages over the documents of sf_dir, each written before the next reads it; what a stage
+    read and what it wrote on its way is deleted then."""
     s = Scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for name, stage in STAGES:
-        docs = s.keep(stage(spark, docs, sf_dir), name, arrow_rows=500)
+        with passing(spark):
+            docs = s.keep(stage(spark, docs, sf_dir), name, arrow_rows=500)
+        if before is not None:
+            s.drop(before)
+        before = docs
     return docs
