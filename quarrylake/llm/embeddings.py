@@ -135,6 +135,7 @@ def near_vectors(
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links and groups of every vector."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .caches import claim
 from .components import components
-from .scratch import Scratch
+from .scratch import Scratch, inner_names
 from .textops import between, mix, rolling, word_hashes
 
 #: Two texts at similarity 0.75 share no band with probability (1 - 0.75**ROWS)**BANDS = 5e-6.
@@ -75,6 +76,7 @@ _SETS = ["id", "n", "d1", "d2", *_BITS, "bands"]
 
 
 def _sketches(batches):
+    claim("sketches", lambda: None)
     types = [pa.int64()] * (len(_SETS) - 1) + [pa.list_(pa.int64())]
     for b in batches:
         rows = [_describe(t.as_py()) for t in b.column("text")]
@@ -133,7 +135,8 @@ def near_duplicates(docs: DataFrame, percent: int = SIMILARITY, scratch: Scratch
     members = sets.select("id", *key).join(copies, key, "left").select("id", "n", F.coalesce("rep", "id").alias("rep"))
     members = s.keep(members, "members")
     reps = sets.join(copies, key, "left").filter("n > 0 and id is not null and (rep is null or rep = id)")
-    reps = s.keep(reps.select("id", "n", *_BITS, "bands").dropDuplicates(["id"]), "reps")
+    # a row for each set that an id stands for
+    reps = s.keep(reps.select("id", "n", "d1", "d2", *_BITS, "bands").dropDuplicates(["id", "n", "d1", "d2"]).drop("d1", "d2"), "reps")
     s.drop(sets)
     bands = reps.select(F.explode("bands").alias("band"), "id")
     bits = reps.select("id", "n", *_BITS)
@@ -214,13 +217,16 @@ def _component_of(df: DataFrame, found: DataFrame, column: str, name: str, alone
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of least doc_id of each near-duplicate group, all columns."""
-    found = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("__kept"))).drop("__kept")
+    """Keeps the document of least doc_id of each near-duplicate group, all columns. Texts without a word, null and empty ones, and
+    rows with a null doc_id are groups of their own and stay; rows that repeat a kept doc_id stay each; no documents give none."""
+    (kept,) = inner_names(docs.columns, "kept_id")
+    found = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias(kept)).distinct()
+    return docs.join(found, F.col("doc_id").eqNullSafe(F.col(kept)), "left_semi")
 
 
 ORACLE = """
@@ -229,7 +235,6 @@ WITH RECURSIVE words AS (
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
     ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) END AS s FROM words),
-classes AS (SELECT s, min(doc_id) AS rep FROM sets WHERE len(s) > 0 GROUP BY list_sort(s), s),
 keyed AS (SELECT doc_id, len(s) AS n, md5(array_to_string(list_sort(s), '|')) AS k, s FROM sets),
 reps AS (SELECT min(doc_id) AS rep, k, any_value(n) AS n FROM keyed WHERE n > 0 GROUP BY k),
 rows AS (SELECT rep, n, unnest(s) AS g FROM reps JOIN keyed USING (k, n) WHERE doc_id = rep),
@@ -241,4 +246,3 @@ SELECT doc_id, keyed.n::BIGINT AS n_shingles, least(coalesce(rep, doc_id), coale
   doc_id = least(coalesce(rep, doc_id), coalesce(b, rep, doc_id)) AS kept
 FROM keyed LEFT JOIN reps ON keyed.k = reps.k AND keyed.n > 0 LEFT JOIN least_of ON least_of.a = rep
 """
-ORACLE = "\n".join(x for x in ORACLE.splitlines() if not x.startswith("classes AS"))

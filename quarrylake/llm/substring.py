@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .caches import claim
 from .scratch import Scratch, inner_names
 from .textops import between, rolling, word_hashes
 
@@ -80,6 +81,7 @@ _RUNS = "id long, v long, start long, count long, short long, left long, right l
 
 def _run_rows(target: int):
     def work(batches):
+        claim("windows", lambda: None)
         for b in batches:
             parts = [[] for _ in range(8)]
             for i, v, t in zip(b.column("id").to_pylist(), b.column("v").to_pylist(), b.column("text")):
@@ -231,12 +233,14 @@ def dedup_substrings(docs: DataFrame, target: int = TARGET, keep_text: bool = Tr
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without their repeated windows, the kept words as a SHA-256."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return dedup_substrings(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without repeated passages; texts without one stay as they are, and documents that lost all words go."""
+    """Texts without repeated passages; texts without one stay as they are, and documents that lost all words go.
+    Nulls, empty texts, repeated rows and names are as in dedup_substrings; no documents give none."""
     out = dedup_substrings(docs).filter("n_removed = 0 or n_removed < n_words")
     changed = F.col("n_removed") > 0
     new = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text"))}

@@ -11,6 +11,7 @@ from pathlib import Path
 import numpy as np
 
 from .bpe import Merges
+from .caches import claim
 from .textops import HashTable, rolling, word_spans, word_sums
 
 _CLASS = np.zeros(256, np.uint8)
@@ -47,7 +48,7 @@ class WordMemo:
     """Lists of ids per word. Bounded: a batch that begins with LIMIT words known, or eight ids
     for each of so many, begins by forgetting them; a batch adds at most as many as it has words."""
 
-    LIMIT = 600_000
+    LIMIT = 400_000
 
     def __init__(self, encode):
         """encode: list of words -> (ids one after the other, number of ids of each)."""
@@ -113,6 +114,7 @@ def word_tokenizer(path: str | None = None) -> WordMemo:
 
     A word that is all letters once normalised is one pre-token, so its merges alone make its ids."""
     path = vocabulary_path(path, "word_bpe_49k.json")
+    claim("words", _tokenizers.clear)
     if path not in _tokenizers:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
