@@ -1,18 +1,23 @@
 """Training-order materialisation of token ids in binary shards.
 
-The documents of an input split follow each other, each closed by END_ID, and are cut into
-sequences of LENGTH ids. Sequences are numbered densely; a keyed Feistel permutation with cycle
-walking gives number g of N the global slot of training step order. Shards hold SHARD slots each,
-as records of one fixed stride, so slot k stands at byte (k mod SHARD) * stride of shard
-k div SHARD, and reading can resume at any slot.
-
-A record is LENGTH unsigned little-endian 16-bit ids and one newline byte. It is written by
-Spark's text writer, which copies bytes unchanged, so shards land in any store Spark can write.
+Documents are dealt to groups by a hash of doc_id and text and ordered by doc_id in each, so the
+result depends on the documents alone, not on how the input is split. The documents of a group
+follow each other, each closed by END_ID, and are cut into sequences of LENGTH ids. Sequences are
+numbered densely; a keyed Feistel permutation with cycle walking gives number g of N the global
+slot of training step order. Shards hold a fixed number of slots each, as records of one fixed
+stride, so slot k stands at byte (k mod shard) * stride of shard k div shard, and reading can
+resume at any slot.
+
+A record is LENGTH unsigned little-endian ids, of two bytes where the vocabulary allows, and one
+newline byte. It is written by Spark's text writer, which copies bytes unchanged, so shards land
+in any store Spark can write, under folder/data/bin=B/shard=K with BIN shards to a bin: a reader
+that resumes lists the bins it needs, by computed paths. folder/layout holds the four numbers
+that the paths are computed from.
 """
 
 from __future__ import annotations
 
-import struct
+import math
 import zlib
 
 import numpy as np
@@ -23,11 +28,12 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 from .textops import mix
-from .wordmemo import token_batches
+from .wordmemo import token_batches, vocabulary_size
 
-LENGTH, SHARD, END_ID, PAD_ID = 2048, 1024, 1, 0
-STRIDE = 2 * LENGTH + 1
+LENGTH, SHARD, BIN, END_ID, PAD_ID = 2048, 4096, 1024, 1, 0
 KEY, TURNS = 0x5EED, 6
+#: Documents of a group, on average at most; groups are a power of two, MAX_GROUPS at most, and grow beyond that.
+GROUP, MAX_GROUPS, MAX_TASKS = 2048, 1 << 18, 100_000
 
 
 def permute(g: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
@@ -48,110 +54,152 @@ def permute(g: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _sequences(length: int, path: str | None):
-    """Rows of a split: number in the split, first document and where in it, ids that count, ids as bytes."""
+_SCHEMA = "number long, first_doc_id long, first_start long, n_docs long, n_ids long, crc long, data binary"
+
+
+def _sequences(length: int, width: int, path: str | None):
+    """Rows of a group: number in the group, first document and where in it, documents, ids that count, CRC and ids."""
 
     def run(batches):
-        tail, spans, number = np.zeros(0, np.uint32), [], 0
-
-        def cut(ids, whole):
-            nonlocal tail, spans, number
-            rows, lo = [], 0
-            while len(ids) - lo >= (length if whole else 1):
-                part = ids[lo : lo + length]
-                # the last document that starts at or before the sequence
-                while len(spans) > 1 and spans[1][0] <= lo:
-                    spans.pop(0)
-                data = np.full(length, PAD_ID, "<u2")
+        import zstandard
+
+        press = zstandard.ZstdCompressor(level=3).compress  # ids are moved in two thirds of their room
+        tail, number = np.zeros(0, f"<u{width}"), 0
+        begins, names = np.zeros(0, np.int64), []  # of the documents in tail
+
+        def cut(ids, rows: int):
+            nonlocal tail, number, begins, names
+            block = ids[: rows * length]
+            lo = np.arange(rows, dtype=np.int64) * length
+            first = np.searchsorted(begins, lo, "right") - 1
+            docs = np.searchsorted(begins, lo + length, "left") - first
+            cols: list[list] = [[], []]
+            for k in range(rows):
+                data = np.full(length, PAD_ID, block.dtype)
+                part = block[k * length : (k + 1) * length]
                 data[: len(part)] = part
-                docs = sum(1 for at, _ in spans if at < lo + length)
-                rows.append((number, spans[0][1], lo - spans[0][0], docs, len(part), data.tobytes()))
-                number, lo = number + 1, lo + length
-            tail, spans = ids[lo:], [(at - lo, i) for at, i in spans]
-            return rows
+                cols[0].append(zlib.crc32(data))
+                cols[1].append(press(data))
+            out = [
+                pa.array(np.arange(number, number + rows)), pa.array([names[k] for k in first.tolist()], pa.int64()),
+                pa.array(lo - begins[first]), pa.array(docs), pa.array(np.minimum(length, len(ids) - lo)),
+                pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()),
+            ]
+            number += rows
+            tail = ids[rows * length :]
+            if len(tail):
+                keep = int(np.searchsorted(begins, rows * length, "right")) - 1
+                begins, names = begins[keep:] - rows * length, names[keep:]
+            else:
+                begins, names = np.zeros(0, np.int64), []
+            return pa.RecordBatch.from_arrays(out, [c.split()[0] for c in _SCHEMA.split(", ")])
 
         for b in batches:
-            parts, at = [tail], len(tail)
-            for i, ids in zip(b.column("id").to_pylist(), token_batches(b.column("text").to_pylist(), path)):
-                spans.append((at, i))
-                parts += [ids, np.array([END_ID], np.uint32)]
+            parts, at, starts = [tail], len(tail), []
+            for ids in token_batches(b.column("text").to_pylist(), path):
+                starts.append(at)
+                parts += [ids.astype(tail.dtype), np.array([END_ID], tail.dtype)]
                 at += len(ids) + 1
-            yield from _record(cut(np.concatenate(parts), True))
-        yield from _record(cut(tail, False))
+            begins = np.concatenate([begins, np.array(starts, np.int64)])
+            names = names + b.column("id").to_pylist()
+            ids = np.concatenate(parts)
+            if len(ids) >= length:
+                yield cut(ids, len(ids) // length)
+            else:
+                tail = ids
+        if len(tail):
+            yield cut(tail, 1)
 
     return run
 
 
-_SCHEMA = "number long, first_doc_id long, first_start long, n_docs long, n_ids long, data binary"
-
-
-def _record(rows):
-    if rows:
-        kinds = [pa.int64()] * 5 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [c.split()[0] for c in _SCHEMA.split(", ")])
-
-
 def write_shards(docs: DataFrame, folder: str, length: int = LENGTH, shard: int = SHARD, key: int = KEY, path: str | None = None) -> DataFrame:
-    """Write docs (doc_id, text, ...) to folder/shard=K/ and return the index, a row per sequence.
+    """Write docs (doc_id, text, ...) to folder and return the index, a row per sequence.
 
     Columns: slot, shard, byte_offset, crc32 of the record's ids, n_ids (fewer than length only in
-    a split's last sequence, padded with PAD_ID), first_doc_id, first_start (its ids before the
+    a group's last sequence, padded with PAD_ID), first_doc_id, first_start (its ids before the
     sequence), n_docs. A null, empty or blank text is one END_ID; a null doc_id stays null;
     repeated rows are written each. No documents: no shard and no row. Other columns are not read.
 
-    Sequences depend on how the input is split, and are fixed once written. Their counts per
-    split come to the driver, two numbers for each split of the input. The permutation sees only
-    numbers; ids are shuffled once, by ranges of shards.
+    Sequences and slots depend on the rows of docs, length and key only. Counts per group come to
+    the driver, two numbers for each of at most MAX_GROUPS. Texts are shuffled once, to their
+    groups, and ids once, compressed, to their shards.
     """
-    s = Scratch(docs.sparkSession, "shards")
+    spark = docs.sparkSession
+    s = Scratch(spark, "shards")
+    width = 2 if vocabulary_size(path) <= 1 << 16 else 4
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    rows = docs.mapInArrow(_sequences(length, path), _SCHEMA).withColumn("part", F.spark_partition_id())
-    # entropy coding: ids hardly repeat as strings, but few of them are frequent
-    rows = s.keep(rows, "sequences", arrow_rows=500, codec="zstd")
+    groups = min(MAX_GROUPS, 1 << max(0, math.ceil(math.log2(max(1, docs.count()) / GROUP))))
+    dealt = docs.withColumn("h", F.xxhash64("id", "text"))
+    dealt = dealt.repartitionById(groups, F.pmod("h", F.lit(groups)).cast("int")).sortWithinPartitions("id", "h").select("id", "text")
+    rows = dealt.mapInArrow(_sequences(length, width, path), _SCHEMA).withColumn("part", F.spark_partition_id())
+    rows = s.keep(rows, "sequences", arrow_rows=500)
     counts = rows.groupBy("part").count().orderBy("part").toPandas()
     n = int(counts["count"].sum())
     first = dict(zip(counts["part"], counts["count"].cumsum() - counts["count"]))
+    spark.createDataFrame([(length, shard, width, n)], "length long, shard long, width int, n long").coalesce(1).write.mode("overwrite").json(f"{folder}/layout")
 
     @F.pandas_udf("long")
     def slot_of(part: pd.Series, number: pd.Series) -> pd.Series:
-        return pd.Series(permute(part.map(first).to_numpy(np.int64) + number.to_numpy(np.int64), n, key))
+        return pd.Series(permute(part.map(first).to_numpy(np.int64) + number.to_numpy(np.int64), max(1, n), key))
 
     rows = rows.withColumn("slot", slot_of("part", "number")).withColumn("shard", F.expr(f"slot div {shard}"))
-    shards = max(1, -(-n // shard))
-    dealt = rows.select("shard", "slot", F.col("data").cast("string").alias("value")).repartitionByRange(min(shards, 100_000), "shard")
-    dealt.sortWithinPartitions("shard", "slot").select("shard", "value").write.partitionBy("shard").option("lineSep", "\n").mode("overwrite").text(folder)
+    s.release()  # by now nothing holds the shuffle of the texts
+    if n:
+        _write(rows, folder, -(-n // shard))
     s.release()
     return rows.select(
-        "slot", "shard", F.expr(f"slot % {shard} * {2 * length + 1}").alias("byte_offset"), F.crc32("data").alias("crc32"),
+        "slot", "shard", F.expr(f"slot % {shard} * {width * length + 1}").alias("byte_offset"), F.col("crc").alias("crc32"),
         "n_ids", "first_doc_id", "first_start", "n_docs",
     )
 
 
-def read_shards(spark: SparkSession, folder: str, length: int = LENGTH, shard: int = SHARD, start_slot: int = 0) -> DataFrame:
-    """slot, crc32, data of all records from start_slot on; earlier shards are not opened.
+def _write(rows: DataFrame, folder: str, shards: int) -> None:
+    def run(batches):
+        import zstandard
+
+        loosen = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            data = pa.array([loosen(x) for x in b.column("data").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("shard"), b.column("slot"), data], ["shard", "slot", "data"])
+
+    tasks = min(shards, MAX_TASKS)
+    dealt = rows.select("shard", "slot", "data").repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)"))
+    loose = dealt.mapInArrow(run, "shard long, slot long, data binary").withColumn("bin", F.expr(f"shard div {BIN}"))
+    loose = loose.sortWithinPartitions("bin", "shard", "slot").select("bin", "shard", F.col("data").cast("string").alias("value"))
+    loose.write.partitionBy("bin", "shard").option("lineSep", "\n").mode("overwrite").text(f"{folder}/data")
+
+
+def read_shards(spark: SparkSession, folder: str, start_slot: int = 0, end_slot: int | None = None) -> DataFrame:
+    """slot, crc32, data of the records from start_slot on and before end_slot; other shards are not opened, other bins not listed.
 
-    A shard is one file of a bounded size, read as a whole."""
-    stride = 2 * length + 1
-    files = spark.read.format("binaryFile").load(folder).select("shard", "content").filter(F.col("shard") >= start_slot // shard)
+    A shard is one file of a bounded size, read as a whole. Without a record there is no row."""
+    layout = spark.read.json(f"{folder}/layout", schema="length long, shard long, width int, n long").first()
+    shard, size, end = layout["shard"], layout["length"] * layout["width"], min(layout["n"], layout["n"] if end_slot is None else end_slot)
+    if start_slot >= end:
+        return spark.createDataFrame([], "slot long, crc32 long, data binary")
+    paths = [f"{folder}/data/bin={b}" for b in range(start_slot // shard // BIN, (end - 1) // shard // BIN + 1)]
+    files = spark.read.format("binaryFile").option("basePath", f"{folder}/data").load(paths)
+    files = files.filter(F.col("shard").between(start_slot // shard, (end - 1) // shard)).select(F.col("shard").cast("long").alias("shard"), "content")
 
     def run(batches):
         for b in batches:
-            for k, content in zip(b.column("shard").to_pylist(), b.column("content").to_pylist()):
-                data = [content[i : i + stride - 1] for i in range(0, len(content), stride)]
-                slots = [k * shard + i for i in range(len(data))]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slots, pa.int64()), pa.array([zlib.crc32(d) for d in data], pa.int64()), pa.array(data, pa.binary())],
-                    ["slot", "crc32", "data"],
-                )
+            for k, content in zip(b.column("shard").to_pylist(), b.column("content")):
+                content = memoryview(content.as_buffer())
+                for lo in range(0, len(content) // (size + 1), 256):  # some records at a time
+                    data = [bytes(content[i : i + size]) for i in range(lo * (size + 1), min((lo + 256) * (size + 1), len(content)), size + 1)]
+                    slots = pa.array(np.arange(k * shard + lo, k * shard + lo + len(data)))
+                    yield pa.RecordBatch.from_arrays([slots, pa.array([zlib.crc32(d) for d in data], pa.int64()), pa.array(data, pa.binary())], ["slot", "crc32", "data"])
 
-    return files.select(F.col("shard").cast("long").alias("shard"), "content").mapInArrow(run, "slot long, crc32 long, data binary").filter(F.col("slot") >= start_slot)
+    return files.mapInArrow(run, "slot long, crc32 long, data binary").filter(F.col("slot").between(start_slot, end - 1))
 
 
-def unpack(data: bytes) -> tuple[int, ...]:
-    return struct.unpack(f"<{len(data) // 2}H", data)
+def unpack(data: bytes, width: int = 2) -> list[int]:
+    return np.frombuffer(data, f"<u{width}").tolist()
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per sequence of all documents: its index entry, and the CRC of what is read back from its slot."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     s = Scratch(spark, "token-shards")
     folder = f"{s.root}/out"
