@@ -11,7 +11,7 @@ from quarrylake.streaming import changes
 
 
 def _graph(spark):
-    nodes = spark.createDataFrame([("a1", "claude"), ("t1", "cargo"), ("c1", "rust"), ("p1", "build_error")], "id string, label string")
+    nodes = spark.createDataFrame([("a1", "helper"), ("t1", "cargo"), ("c1", "rust"), ("p1", "build_error")], "id string, label string")
     edges = spark.createDataFrame(
         [("e1", "a1", "t1", "used", 0.8), ("e2", "t1", "c1", "related_to", 0.6), ("e3", "a1", "p1", "solved", 0.9), ("e4", "c1", "p1", "related_to", 0.1)],
         "id string, from_node string, to_node string, relationship string, confidence double",
