@@ -1,11 +1,11 @@
 """Document fingerprints in the manner of I-Match, from DataFrame functions only.
 
 Terms are maximal runs of letters, lower-cased. Of a document's distinct terms those stay whose
-document frequency lies in a band; they are hashed under several randomised lexicons, each of
-which holds a random part of the band. The lexicons of a level share out the whole band, so that
-every term in it counts; a change spoils only the lexicons that hold a changed term. How many
-lexicons a level has follows the number of terms, so that a few terms of the document fall into
-each. Two neighbouring levels are kept, so that texts of like size have one in common.
+document frequency lies in a band. They are hashed under several randomised lexicons of the band,
+one hash, independent of order, over all the terms that a lexicon leaves. PARTS lexicons each leave out another
+one of PARTS equal shares of the band, so each term counts in all but one of them. For each of
+SEEDS draws there are four smaller lexicons, of a sixteenth of the band and so on: what holds
+fewer terms survives greater changes, so the share of equal hashes falls as texts part.
 """
 
 from __future__ import annotations
@@ -19,106 +19,64 @@ from .scratch import Scratch
 #: The band, as shares of all documents. A document has d distinct terms on average, so at most
 #: d / RARE terms lie in the band whatever the corpus: this bounds what is broadcast.
 RARE, COMMON = 0.001, 0.1
-#: Level i has 2**i lexicons, each of one in 2**i terms; TERMS is the least mean number of terms in a lexicon.
-TERMS, LEAST_LEVEL = 2, 6
-#: The lexicon is broadcast up to so many terms, and joined by its key beyond.
+#: Lexicons that leave out one share each; draws, and of 1024 values of a term those that each lexicon of a draw holds.
+PARTS, SEEDS, HOLDS = 4, 6, (64, 16, 4, 1)
+#: The terms of the band are broadcast up to so many, and joined by sorting beyond.
 MAX_BROADCAST = 2_000_000
-LOW = 0xFFFFFFFF
+NONE = "-"
 
 
-def term_hashes(text: Column) -> Column:
-    """Sorted distinct 64-bit hashes of the terms of text."""
-    words = F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: w != "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+def terms_of(text: Column) -> Column:
+    """The distinct terms of text."""
+    return F.array_distinct(F.filter(F.split(F.lower(text), r"\P{L}+"), lambda w: w != ""))
 
 
-def lexicon(docs: DataFrame, rare: float = RARE, common: float = COMMON) -> DataFrame:
-    """h: hashes of the terms that at least rare and at most common of all documents hold, and two documents at least."""
+def band(docs: DataFrame, rare: float = RARE, common: float = COMMON) -> DataFrame:
+    """term, part, bits, code of the terms that at least rare and at most common of all documents hold, and two documents at least.
+
+    part is the share of the band that a term falls to, bits are ten for each draw, and code, of 40 bits,
+    is what a term adds to the hash of a lexicon; all from its MD5."""
     n = docs.count()
-    counts = docs.select(F.explode(term_hashes(F.coalesce("text", F.lit("")))).alias("h")).groupBy("h").count()
-    return counts.filter((F.col("count") >= max(2, rare * n)) & (F.col("count") <= max(3, common * n))).select("h")
+    counts = docs.select(F.explode(terms_of(F.coalesce("text", F.lit("")))).alias("term")).groupBy("term").count()
+    held = counts.filter((F.col("count") >= max(2, rare * n)) & (F.col("count") <= max(3, common * n)))
+    digest = F.md5("term")
 
+    def number(start: int, digits: int) -> Column:
+        return F.conv(F.substring(digest, start, digits), 16, 10).cast("long")
 
-def _fixed(df: DataFrame, name: str, column: Column) -> DataFrame:
-    """df with a column that lambdas can read as a value; folded into them it would be computed for each element."""
-    return df.select("*", F.explode(F.array(column)).alias(name))
+    return held.select("term", (number(16, 4) % PARTS).cast("int").alias("part"), number(1, 15).alias("bits"), number(20, 10).alias("code"))
 
 
-def levelled_terms(df: DataFrame, text: str) -> DataFrame:
-    """df without text, with terms, level and whole (a hash of all terms)."""
-    df = _fixed(df, "terms", term_hashes(F.col(text))).drop(text)
-    level = F.greatest(F.lit(LEAST_LEVEL), F.ceil(F.log2(F.size("terms") / (2.0 * TERMS))).cast("int"))
-    return df.withColumns({"level": F.when(F.size("terms") > 0, level).otherwise(LEAST_LEVEL), "whole": F.xxhash64("terms")})
+def _lexicons(shift: str = "shiftright(bits, {n})") -> list[str]:
+    """For each lexicon, which terms it holds, in SQL."""
+    drawn = [f"({shift.format(n=10 * s)} & 1023) < {most}" for s in range(SEEDS) for most in HOLDS]
+    return [f"part <> {p}" for p in range(PARTS)] + drawn
 
 
 def _banded(df: DataFrame, key: list[str], known: DataFrame) -> DataFrame:
-    """df (key, t) -> key, level, whole, copies, fine: of each lexicon of level + 1 that holds terms
-    in the band its number, before 32 bits with the sum of their hashes. Equal rows become one, counted by copies.
+    """df (key, sha, t) -> key, sha, copies, fingerprint. Equal rows become one, counted by copies.
 
-    A lexicon is the first bits of the terms' hashes, so lexicons 2i and 2i + 1 of level + 1 make up lexicon i of level."""
-    key = [*key, "level", "whole"]
+    What a lexicon leaves is hashed by the sum of the terms' codes, which is the same in any order,
+    as the hash of the sorted terms would be, and is gathered in place; its MD5 is what is shown."""
     # one row without a term for each text keeps it where no term is in the band
-    rows = levelled_terms(df, "t").select(*key, F.explode(F.concat(F.array(F.lit(None).cast("long")), "terms")).alias("h"))
-    rows = rows.join(known, "h", "left").filter("h is null or in_band")
-    rows = rows.select(*key, F.expr("shiftrightunsigned(h, 63 - level)").alias("cell"), F.col("h").bitwiseAND(F.lit(LOW)).alias("low"))
-    sums = rows.groupBy(*key, "cell").agg(F.sum("low").alias("sum"), F.count("*").alias("m"))
-    out = sums.groupBy(*key).agg(
-        F.collect_list(F.when(F.col("cell").isNotNull(), F.struct("cell", "sum"))).alias("cells"),
-        F.max(F.when(F.col("cell").isNull(), F.col("m"))).alias("copies"),
-    )
-    # copies add alike
-    entry = F.transform("cells", lambda e: F.shiftleft(e["cell"], 32).bitwiseOR(F.floor(e["sum"] / F.col("copies")).cast("long").bitwiseAND(F.lit(LOW))))
-    return out.withColumn("fine", F.array_sort(entry)).drop("cells")
-
-
-def coarse(fine: str) -> Column:
-    """The lexicons of level out of those of level + 1."""
-
-    def side(i: Column) -> Column:
-        return F.shiftright(F.get(F.col(fine), i), 33)
-
-    def joined(e: Column, i: Column) -> Column:
-        a = F.shiftright(e, 33)
-        after = F.when(side(i + 1) == a, F.get(F.col(fine), i + 1).bitwiseAND(F.lit(LOW))).otherwise(0)
-        both = F.shiftleft(a, 32).bitwiseOR((e.bitwiseAND(F.lit(LOW)) + after).bitwiseAND(F.lit(LOW)))
-        return F.when(F.coalesce(side(i - 1) != a, F.lit(True)), both)
-
-    return F.filter(F.transform(fine, joined), lambda e: e.isNotNull())
-
-
-def fingerprint(level: str, coarse: str, fine: str, whole: str) -> Column:
-    """level.lexicon.hash for each lexicon of both levels that holds terms, joined by blanks; without one, the hash of all terms."""
-
-    def entries(of: str, level: Column) -> Column:
-        return F.transform(of, lambda e: F.concat_ws(
-            ".", level.cast("string"), F.shiftright(e, 32).cast("string"), F.lower(F.hex(e.bitwiseAND(F.lit(LOW))))))
-
-    every = F.concat(entries(coarse, F.col(level)), entries(fine, F.col(level) + 1))
-    return F.when(F.size(fine) > 0, F.array_join(every, " ")).otherwise(F.concat(F.lit("all."), F.lower(F.hex(whole))))
+    rows = df.select(*key, "sha", F.explode(F.concat(F.array(F.lit(None).cast("string")), terms_of(F.col("t")))).alias("term"))
+    rows = rows.join(known, "term", "left").filter("term is null or part is not null")
+    names = [f"l{k}" for k in range(PARTS + SEEDS * len(HOLDS))]
+    sums = [F.sum(F.when(F.expr(holds), F.col("code"))).alias(n) for n, holds in zip(names, _lexicons())]
+    out = rows.groupBy(*key, "sha").agg(F.count_if(F.col("term").isNull()).alias("copies"), *sums)
+    shown = [F.coalesce(F.substring(F.md5(F.expr(f"{n} div copies").cast("string")), 1, 8), F.lit(NONE)) for n in names]
+    fingerprint = F.when(F.coalesce("l0", "l1").isNotNull(), F.concat_ws(" ", *shown)).otherwise(F.concat(F.lit("all."), "sha"))
+    return out.select(*key, "sha", "copies", fingerprint.alias("fingerprint"))
 
 
 def likeness(a: str, b: str) -> Column:
-    """0 to 1: among the lexicons of levels that both have, and that hold terms of either, the share with equal hashes.
-
-    a and b are what the names level, coarse, fine and whole of two texts begin with."""
-
-    def col(of: str, name: str) -> Column:
-        return F.col(of + name)
-
-    def share(pairs: list[tuple[Column, Column]]) -> Column:
-        both = sum((F.size(F.array_intersect(x, y)) for x, y in pairs), F.lit(0))
-        either = sum((F.size(F.array_union(*[F.transform(z, lambda e: F.shiftright(e, 32)) for z in p])) for p in pairs), F.lit(0))
-        return F.when(either > 0, both / either).otherwise(0.0)
-
-    up = col(a, "level") - col(b, "level")
-    same = (up == 0) & (col(a, "fine") == col(b, "fine")) & ((F.size(col(a, "fine")) > 0) | (col(a, "whole") == col(b, "whole")))
-    return (
-        F.when(same, 1.0)
-        .when(up == 0, share([(col(a, "coarse"), col(b, "coarse")), (col(a, "fine"), col(b, "fine"))]))
-        .when(up == 1, share([(col(a, "coarse"), col(b, "fine"))]))
-        .when(up == -1, share([(col(a, "fine"), col(b, "coarse"))]))
-        .otherwise(0.0)
-    )
+    """0 to 1, of two columns of fingerprints: 1 where they are equal, else the share of equal hashes
+    among the lexicons that hold terms of either text; 0 where only one has terms of the band."""
+    x, y = F.split(a, " "), F.split(b, " ")
+    equal = F.size(F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda e: (e["x"] == e["y"]) & (e["x"] != NONE)))
+    either = F.size(F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda e: (e["x"] != NONE) | (e["y"] != NONE)))
+    apart = F.col(a).startswith("all.") | F.col(b).startswith("all.")
+    return F.when(F.col(a) == F.col(b), 1.0).when(apart, 0.0).otherwise(equal / either)
 
 
 def next_ids(ids: DataFrame, s: Scratch) -> DataFrame:
@@ -145,14 +103,15 @@ def fingerprints(docs: DataFrame, rare: float = RARE, common: float = COMMON) ->
     document, in descending order of doc_id; the last is followed by the first. A null text is an
     empty one. A null doc_id has no next document: its edited text ends where the replacement
     would begin, and near_next is 0. Where rows repeat a doc_id, each of them is kept; as someone's
-    next document the least beginning counts, and the least fingerprint, by level and hashes. Other columns are not read.
+    next document the least beginning counts, and the least fingerprint. A text without a term of
+    the band has a hash of itself for a fingerprint. Other columns are not read.
 
-    Terms are hashed and aggregated within the tasks that read the text; a text is shuffled once
-    for the edit, and the part that replaces another's end once. The sums of a text stay in the task that edits it.
+    Terms are looked up and aggregated within the tasks that read the text; a text is shuffled once
+    for the edit, and the part that replaces another's end once.
     """
     s = Scratch(docs.sparkSession, "fingerprints")
     docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    words = s.keep(lexicon(docs, rare, common), "lexicon")
+    known = s.keep(band(docs, rare, common), "band")
     ids = docs.filter("id is not null").groupBy("id").agg(F.max(F.length("text")).alias("n"))
     after = next_ids(ids, s)
     before = after.select(F.col("next_id").alias("id"), F.col("id").alias("prev"), F.expr("n div 3").cast("int").alias("k"))
@@ -165,42 +124,62 @@ def fingerprints(docs: DataFrame, rare: float = RARE, common: float = COMMON) ->
     edited = F.concat(F.left("text", F.length("text") - third), F.left("head", third))
     full = named.select("id", "next_id", "text", edited.alias("edited"))
     alone = docs.filter("id is null").select("id", F.lit(None).cast("long").alias("next_id"), "text", F.left("text", F.length("text") - third).alias("edited"))
-    known = words.withColumn("in_band", F.lit(True))
-    known = F.broadcast(known) if words.count() <= MAX_BROADCAST else known
+    known = F.broadcast(known) if known.count() <= MAX_BROADCAST else known.hint("merge")
 
-    def summed(df: DataFrame) -> DataFrame:
+    def fingerprinted(df: DataFrame) -> DataFrame:
         both = df.select("id", "next_id", F.xxhash64("text").alias("v"), F.inline(F.array(
-            F.struct(F.lit(0).alias("kind"), F.length("text").cast("long").alias("n"), F.lit("").alias("sha"), F.col("text").alias("t")),
-            F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n"), F.sha2("edited", 256).alias("sha"), F.col("edited").alias("t")),
+            F.struct(F.lit(0).alias("kind"), F.length("text").cast("long").alias("n"), F.col("text").alias("t")),
+            F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("n"), F.col("edited").alias("t")),
         )))
-        return _banded(both, ["id", "next_id", "v", "kind", "n", "sha"], known)
-
-    # apart, as texts with an id stand by id already and are summed without a shuffle
-    found = s.keep(summed(full).unionByName(summed(alone)), "found", codec="zstd")
-    parts = ("level", "fine", "whole")
-    own = found.filter("kind = 0").select("id", "next_id", "v", "n", "copies", *[F.col(c).alias(f"a_{c}") for c in parts])
-    named = own.filter("id is not null")
-    nexts = named.groupBy(F.col("id").alias("nid")).agg(F.min(F.struct(*[F.col(f"a_{c}").alias(c) for c in parts])).alias("least"))
-    nexts = nexts.select("nid", *[F.col(f"least.{c}").alias(f"c_{c}") for c in parts])
-    near = named.select("id", "v", "next_id", *[f"a_{c}" for c in parts]).join(nexts, F.col("next_id") == F.col("nid"))
-    for x in ("a_", "c_"):
-        near = _fixed(near, f"{x}coarse", coarse(f"{x}fine"))
-    # the terms of the next text are let go before both fingerprints of a text meet
-    near = s.keep(near.select(F.col("id").alias("nid"), F.col("v").alias("nv"), likeness("a_", "c_").alias("near_next")), "near")
-    other = found.filter("kind = 1").select(F.col("id").alias("eid"), F.col("v").alias("ev"), "sha", *[F.col(c).alias(f"b_{c}") for c in parts])
-    out = own.join(other, F.expr("id <=> eid and v = ev")).join(near, F.expr("id <=> nid and v = nv"), "left")
-    for x in ("a_", "b_"):
-        out = _fixed(out, f"{x}coarse", coarse(f"{x}fine"))
-    out = out.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+        return _banded(both.withColumn("sha", F.sha2("t", 256)), ["id", "next_id", "v", "kind", "n"], known)
+
+    # apart, as texts with an id stand by id already and are aggregated without a shuffle
+    found = s.keep(fingerprinted(full).unionByName(fingerprinted(alone)), "found", codec="zstd")
+    own = found.filter("kind = 0").select("id", "next_id", "v", "n", "copies", "fingerprint")
+    nexts = own.filter("id is not null").groupBy(F.col("id").alias("nid")).agg(F.min("fingerprint").alias("next_fingerprint"))
+    other = found.filter("kind = 1").select(F.col("id").alias("eid"), F.col("v").alias("ev"), "sha", F.col("fingerprint").alias("edited_fingerprint"))
+    out = own.join(other, F.expr("id <=> eid and v = ev")).join(nexts, F.col("next_id") == F.col("nid"), "left")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
     return out.select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"),
-        *[fingerprint(*[f"{x}{c}" for c in ("level", "coarse", "fine", "whole")]).alias(name) for x, name in (("a_", "fingerprint"), ("b_", "edited_fingerprint"))],
-        likeness("a_", "b_").alias("near_edited"), F.coalesce("near_next", F.lit(0.0)).alias("near_next"),
+        F.col("id").alias("doc_id"), F.col("n").alias("n_chars"), F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        likeness("fingerprint", "edited_fingerprint").alias("near_edited"),
+        F.coalesce(likeness("fingerprint", "next_fingerprint"), F.lit(0.0)).alias("near_next"),
     )
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprints of all documents and of their edited texts."""
     return fingerprints(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-ORACLE = None
+_SUMS = ", ".join(f"sum(code) FILTER (WHERE {x}) AS l{k}" for k, x in enumerate(_lexicons("(bits >> {n})")))
+_HASHES = ", ".join(f"coalesce(substr(md5(l{k}::VARCHAR), 1, 8), '{NONE}')" for k in range(PARTS + SEEDS * len(HOLDS)))
+_TERMS = r"list_distinct(list_filter(regexp_split_to_array(lower({t}), '\P{{L}}+'), lambda w: w <> ''))"
+
+
+def _likeness_sql(a: str, b: str) -> str:
+    x, y = f"string_split({a}, ' ')", f"string_split({b}, ' ')"
+    each = f"range(1, {PARTS + SEEDS * len(HOLDS) + 1})"
+    equal = f"len(list_filter({each}, lambda i: {x}[i] = {y}[i] AND {x}[i] <> '{NONE}'))"
+    either = f"len(list_filter({each}, lambda i: {x}[i] <> '{NONE}' OR {y}[i] <> '{NONE}'))"
+    return f"CASE WHEN {a} = {b} THEN 1.0::DOUBLE WHEN starts_with({a}, 'all.') OR starts_with({b}, 'all.') THEN 0.0::DOUBLE ELSE {equal}::DOUBLE / {either} END"
+
+
+ORACLE = f"""
+WITH docs AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+follow AS (SELECT doc_id, t, coalesce(lead(doc_id) OVER w, max(doc_id) OVER ()) AS nid, coalesce(lead(t) OVER w, first_value(t) OVER w) AS nt
+  FROM docs WINDOW w AS (ORDER BY doc_id DESC)),
+edits AS (SELECT *, substr(t, 1, length(t) - length(t) // 3) || substr(nt, 1, length(t) // 3) AS edited FROM follow),
+texts AS (SELECT doc_id, 0 AS kind, t FROM edits UNION ALL SELECT doc_id, 1, edited FROM edits),
+counted AS (SELECT term, count(*) AS c FROM (SELECT unnest({_TERMS.format(t="t")}) AS term FROM docs) GROUP BY term),
+band AS (SELECT term, ('0x' || substr(md5(term), 16, 4))::BIGINT % {PARTS} AS part, ('0x' || substr(md5(term), 1, 15))::BIGINT AS bits,
+    ('0x' || substr(md5(term), 20, 10))::BIGINT AS code
+  FROM counted, (SELECT count(*) AS n FROM docs) WHERE c >= greatest(2, {RARE} * n) AND c <= greatest(3, {COMMON} * n)),
+held AS (SELECT doc_id, kind, {_SUMS}
+  FROM (SELECT doc_id, kind, unnest({_TERMS.format(t="t")}) AS term FROM texts) JOIN band USING (term) GROUP BY doc_id, kind),
+prints AS (SELECT doc_id, kind, CASE WHEN coalesce(l0, l1) IS NULL THEN 'all.' || sha256(t) ELSE array_to_string([{_HASHES}], ' ') END AS p FROM texts LEFT JOIN held USING (doc_id, kind))
+SELECT e.doc_id, length(e.t)::BIGINT AS n_chars, sha256(e.edited) AS edited_sha256, a.p AS fingerprint, b.p AS edited_fingerprint,
+  {_likeness_sql("a.p", "b.p")} AS near_edited, {_likeness_sql("a.p", "c.p")} AS near_next
+FROM edits e JOIN prints a ON a.doc_id = e.doc_id AND a.kind = 0 JOIN prints b ON b.doc_id = e.doc_id AND b.kind = 1
+  JOIN prints c ON c.doc_id = e.nid AND c.kind = 0
+"""
