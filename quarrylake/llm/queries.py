@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embeddings, fingerprint, langid, linededup, minhash, packing, pieces, substring, tokenshards, urlfilter
+from . import embeddings, filteraudit, fingerprint, langid, linededup, minhash, packing, pieces, secrets, spelling, substring, tokenshards, urlfilter
 
 _MODULES = {
     "op1_packing": packing,
@@ -15,6 +15,9 @@ _MODULES = {
     "op8_token_shards": tokenshards,
     "op9_sentence_pieces": pieces,
     "op10_embedding_dedup": embeddings,
+    "op11_secret_scan": secrets,
+    "op12_spelling_variants": spelling,
+    "op13_filter_audit": filteraudit,
 }
 QUERIES = {name: m.query for name, m in _MODULES.items()}
 ORACLES = {name: m.ORACLE for name, m in _MODULES.items() if m.ORACLE}
