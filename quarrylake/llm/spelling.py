@@ -25,9 +25,9 @@ from .textops import P, mix, powers
 MIN_LENGTH, MIN_COUNT, FACTOR, SPOIL = 6, 5, 5, 199
 #: Distinct words that a task counts before it hands them on.
 HELD = 300_000
-#: The filter that neighbours pass before they are joined: a fixed 16 MB at any size of the vocabulary.
+#: The filter that neighbours pass before they are joined: a fixed 4 MB at any size of the vocabulary.
 #: Fuller at larger sizes, it lets more neighbours through to the join and loses none.
-FILTER_BITS = 27
+FILTER_BITS = 25
 #: Positions of words whose neighbours are made at once.
 BLOCK = 1 << 14
 _INVERSE = np.uint64(pow(int(P), -1, 1 << 64))
@@ -206,7 +206,9 @@ def near_words(words: DataFrame, filter_bits: int = FILTER_BITS) -> DataFrame:
     spelt = F.expr("concat(left(word, pos), put, substring(word, pos + 1 + skip))")
     # words of one hash are told apart here, as the neighbour is spelt out
     pairs = met.join(known.select("word", F.col("h").alias("source")), "source").filter(spelt == F.col("near"))
-    return s.keep(pairs.select("word", "near", "near_n").distinct(), "pairs")
+    out = s.keep(pairs.select("word", "near", "near_n").distinct(), "pairs")
+    shared.destroy()
+    return out
 
 
 def spelling_forms(words: DataFrame, factor: int = FACTOR, filter_bits: int = FILTER_BITS) -> DataFrame:
