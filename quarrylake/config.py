@@ -60,6 +60,15 @@ TAG_GLOBS = (
     (("error", "error-handling", "thiserror", "anyhow"), ("src/error/**/*.rs", "**/*.rs")),
     (("async", "tokio", "futures"), ("**/*.rs",)),
 )
+# Types of graph nodes, kinds of edges.
+ENTITY_TYPES = (
+    "agent", "tool", "problem", "solution", "concept", "person", "project", "chunk", "struct_function", "struct_class",
+    "struct_method", "struct_module", "struct_import",
+)
+RELATIONSHIPS = (
+    "used", "solved", "failed_for", "knows", "prefers", "depends_on", "related_to", "derived_from", "encountered",
+    "solved_by", "calls", "imported_by", "inherits", "tests", "contains",
+)
 # Limits of texts
 INJECT_CHARS, INJECT_LEAST, INDEX_LINES, RATE_SECONDS, SETTLED_SECONDS = 2000, 50, 200, 300, 60
 CONCEPTS_OF_CHECKPOINT, EDGE_FEED = 5, 10_000

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 from .. import config
 from ..functions.text import normal_label
+from ..written import written
+from .tables import Catalog, upsert
 
 
 def steps(edges: DataFrame, direction: str = "both", kinds: list[str] | None = None, min_confidence: float = 0.3) -> DataFrame:
@@ -22,10 +24,11 @@ def steps(edges: DataFrame, direction: str = "both", kinds: list[str] | None = N
     return back if direction in ("incoming", "in") else out.unionByName(back)
 
 
-def expand(edges: DataFrame, starts: DataFrame, depth: int = 1, direction: str = "both", kinds: list[str] | None = None, min_confidence: float = 0.3, scratch: str | None = None) -> DataFrame:
+def expand(edges: DataFrame, starts: DataFrame, depth: int = 1, direction: str = "both", kinds: list[str] | None = None, min_confidence: float = 0.3) -> DataFrame:
     """starts (node) -> start, node, depth, path: each node reached at its least depth, by the
     strongest edge and then the smallest edge id; the start itself is left out. A level is one
-    join and one aggregate, so the loop runs depth times whatever the graph."""
+    join, one aggregate and one anti-join with what was reached; levels but the last are written, so
+    no plan holds more than one of them and the loop runs depth times whatever the graph."""
     step = steps(edges, direction, kinds, min_confidence)
     empty = F.array().cast("array<string>")
     seen = front = starts.distinct().select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"), empty.alias("path"))
@@ -34,9 +37,8 @@ def expand(edges: DataFrame, starts: DataFrame, depth: int = 1, direction: str =
         found = found.groupBy("start", "node").agg(F.min("best").alias("best"))
         front = found.join(seen.select("start", "node"), ["start", "node"], "left_anti")
         front = front.select("start", "node", F.lit(d).alias("depth"), F.concat("best.path", F.array("best.e")).alias("path"))
-        if scratch:
-            front.write.mode("overwrite").parquet(f"{scratch}/level-{d}")
-            front = edges.sparkSession.read.parquet(f"{scratch}/level-{d}")
+        if d < depth:
+            front = written(front, "level")
         seen = seen.unionByName(front)
     return seen.filter("depth > 0")
 
@@ -47,16 +49,39 @@ def subgraph(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "from_node"), "from_node", "left_semi").join(ids.withColumnRenamed("id", "to_node"), "to_node", "left_semi")
 
 
-def apply_outcome(edges: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """outcomes (id, outcome) of success, failure or partial move confidence; two successes confirm."""
-    o = outcomes.dropDuplicates(["id"])
-    e = edges.join(o, "id", "left")
-    won, lost = F.coalesce(F.col("outcome") == "success", F.lit(False)), F.coalesce(F.col("outcome") == "failure", F.lit(False))
-    part = F.coalesce(F.col("outcome") == "partial", F.lit(False))
-    c = F.col("confidence")
-    moved = F.when(won, F.least(F.lit(1.0), c + config.REINFORCE)).when(lost, F.greatest(F.lit(0.0), c - config.WEAKEN)).when(part, F.least(F.lit(1.0), c + config.PARTIAL)).otherwise(c)
-    successes = F.col("success_count") + won.cast("int")
-    return e.withColumns({"confidence": moved, "success_count": successes, "failure_count": F.col("failure_count") + lost.cast("int"), "provisional": F.col("provisional") & (successes < config.CONFIRM_AFTER)}).drop("outcome")
+def _then(first: Column, second: Column) -> Column:
+    """Two moves (by, low, high), each x -> min(high, max(low, x + by)), as the one move that does both."""
+    within = lambda x: F.least(second["high"], F.greatest(second["low"], x + second["by"]))
+    return F.struct((first["by"] + second["by"]).alias("by"), within(first["low"]).alias("low"), within(first["high"]).alias("high"))
+
+
+def _moves(df: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """df (keys, at, move, wins, losses) -> keys, at, move, wins, losses: the moves of a key as one, in the order of at."""
+    none = F.struct(F.lit(0.0).alias("by"), F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"))
+    ordered = F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), "move")))
+    return df.groupBy(*keys).agg(F.min(at).alias("at"), F.aggregate(ordered, none, lambda s, m: _then(s, m["move"])).alias("move"), F.sum("wins").alias("wins"), F.sum("losses").alias("losses"))
+
+
+def apply_outcome(edges: DataFrame, outcomes: DataFrame, span: int = 1000) -> DataFrame:
+    """outcomes (id, outcome and, for their order, at, a number) of success, failure or partial move confidence, all those of an edge one
+    after the other; two successes confirm. Others, and null ones, move nothing.
+
+    Moves are clamped to 0 and 1 and do not commute. Two make one of the same kind, so an edge's outcomes are
+    first composed for each span of at, then these: of an edge with very many, a group holds those of a span."""
+    at = F.col("at").cast("long") if "at" in outcomes.columns else F.lit(0).cast("long")
+    won, lost, part = (F.coalesce(F.col("outcome") == k, F.lit(False)) for k in ("success", "failure", "partial"))
+    by = F.when(won, config.REINFORCE).when(lost, -config.WEAKEN).when(part, config.PARTIAL).otherwise(0.0)
+    low, high = F.when(lost, 0.0).otherwise(float("-inf")), F.when(won | part, 1.0).otherwise(float("inf"))
+    o = outcomes.filter("id is not null").select(F.col("id").alias("__id"), at.alias("at"), F.struct(by.alias("by"), low.alias("low"), high.alias("high")).alias("move"), won.cast("int").alias("wins"), lost.cast("int").alias("losses"))
+    o = _moves(o.withColumn("__span", F.floor(F.col("at") / span)), ["__id", "__span"], "at")
+    o = _moves(o, ["__id"], "at").select("__id", F.col("move").alias("__move"), F.col("wins").cast("int").alias("__wins"), F.col("losses").cast("int").alias("__losses"))
+    e = edges.join(o, F.col("id") == F.col("__id"), "left")
+    c, m = F.col("confidence"), F.col("__move")
+    moved = F.when(m.isNull(), c).otherwise(F.least(m["high"], F.greatest(m["low"], c + m["by"])))
+    successes = F.col("success_count") + F.coalesce("__wins", F.lit(0))
+    failures = F.col("failure_count") + F.coalesce("__losses", F.lit(0))
+    out = e.withColumns({"confidence": moved, "success_count": successes, "failure_count": failures, "provisional": F.col("provisional") & (successes < config.CONFIRM_AFTER)})
+    return out.select(*edges.columns)
 
 
 def decayed(confidence: Column, age_days: Column, half_life: float = config.HALF_LIFE_DAYS) -> Column:
@@ -173,6 +198,39 @@ def view(nodes: DataFrame, edges: DataFrame, label: str | None = None, depth: in
     return near.join(nodes.select("id", "label", "entity_type"), "id").select("id", "label", "entity_type", "weight"), subgraph(near, edges).select("from_node", "to_node", "relationship", F.col("confidence").alias("weight"))
 
 
+def subset(nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) of the nodes in ids (id), with the edges that have both ends there."""
+    own = ids.select("id").filter("id is not null").distinct()
+    return nodes.join(own, "id", "left_semi"), subgraph(own, edges).select(*edges.columns)
+
+
+def load_graph(catalog: Catalog, min_confidence: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) that a catalog holds. A type of node that is not known is concept, a kind of edge related_to, a negative or
+    missing count 0; metadata that is no JSON is null. Edges that lack an end, and with min_confidence weaker ones, are left out."""
+    n, e = catalog.read("nodes"), catalog.read("edges")
+    count = lambda c: F.greatest(F.coalesce(F.col(c), F.lit(0)), F.lit(0)).alias(c)
+    known = lambda c, values, other: F.when(F.lower(c).isin(*values), F.lower(c)).otherwise(other).alias(c)
+    meta = F.when(F.try_parse_json("metadata").isNotNull(), F.col("metadata")).alias("metadata")
+    own = {"entity_type": known("entity_type", config.ENTITY_TYPES, "concept"), "access_count": count("access_count"), "metadata": meta}
+    n = n.select(*[own.get(c, F.col(c)) for c in n.columns]).dropDuplicates(["id"])
+    own = {"relationship": known("relationship", config.RELATIONSHIPS, "related_to")} | {c: count(c) for c in ("access_count", "success_count", "failure_count")}
+    e = e.select(*[own.get(c, F.col(c)) for c in e.columns])
+    e = e.filter(F.col("confidence") >= min_confidence) if min_confidence is not None else e
+    return n, subgraph(n, e).select(*e.columns)
+
+
+def save_graph(catalog: Catalog, nodes: DataFrame, edges: DataFrame) -> None:
+    """Nodes and edges take the place of those of the same id, in one commit; the others stay."""
+    there = catalog.state()["tables"]
+    both = {"nodes": nodes, "edges": edges}
+    catalog.commit({k: upsert(catalog.read(k), v, ["id"]) if k in there else v for k, v in both.items()})
+
+
+def save_subset(catalog: Catalog, nodes: DataFrame, edges: DataFrame, ids: DataFrame) -> None:
+    """save_graph of what subset takes."""
+    save_graph(catalog, *subset(nodes, edges, ids))
+
+
 def remove_nodes(nodes: DataFrame, edges: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) without the nodes in gone (id) and without edges that touch them."""
     g = gone.select("id").distinct()

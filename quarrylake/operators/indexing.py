@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.kernels import chunks_udf, embed_udf, symbols_udf
 from .structure import call_edges
-from .tables import diff
+from .tables import Catalog, diff
 
 CHUNKS = "path string, chunk_index int, start_line int, end_line int, content string, embedding array<float>"
 SYMBOLS = "id string, file_path string, symbol_name string, symbol_kind string, language string, start_line int, end_line int, scope string"
@@ -62,11 +62,13 @@ def delete_under(state: State, folder: str) -> State:
 def index_files(state: State, files: DataFrame, embed=None, structural: bool = True) -> State:
     """The state with files (path, mtime, size, hash, language, content); those whose hash the ledger has are not read again.
 
-    A file's old chunks, symbols and edges make room for the new ones."""
+    A file's old chunks, symbols and edges make room for the new ones. The ledger takes time and size of all files, so a file that
+    was only touched is not looked at again."""
     known = state["ledger"].select("path", "hash")
     fresh = files.join(known, ["path", "hash"], "left_anti")
     out = delete_files(state, fresh, symbols=structural)
-    add = {"chunks": chunked(fresh, embed), "ledger": fresh}
+    out |= {"ledger": _less(out["ledger"], files, "path")}
+    add = {"chunks": chunked(fresh, embed), "ledger": files}
     if structural:
         add["symbols"], add["edges"] = parsed(fresh)
     return out | {k: out[k].unionByName(v.select(*out[k].columns)) for k, v in add.items()}
@@ -112,3 +114,16 @@ def apply_changes(state: State, changes: DataFrame, files: DataFrame, embed=None
     gone = changes.filter("op = 'deleted'").select("path")
     moved = files.join(changes.filter("op <> 'deleted'").select("path").distinct(), "path", "left_semi")
     return index_files(delete_files(state, gone), moved, embed)
+
+
+def load(catalog: Catalog) -> State:
+    """The state that a catalog holds; the empty one before its first commit."""
+    there = catalog.state()["tables"]
+    return {k: catalog.read(k) if k in there else v for k, v in empty(catalog.spark).items()}
+
+
+def apply_batch(catalog: Catalog, changes: DataFrame, files: DataFrame, batch: int, sink: str = "index", embed=None) -> bool:
+    """Commit the changes of a numbered batch to the state of catalog, its number with them; False if it was there already."""
+    if batch <= catalog.applied(sink):
+        return False
+    return catalog.commit(apply_changes(load(catalog), changes, files, embed), sink, batch)

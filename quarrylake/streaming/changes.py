@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import config
+from ..operators.indexing import apply_batch
+from ..operators.tables import Catalog
+from ..written import written
 
 
 def coalesce_changes(events: DataFrame) -> DataFrame:
@@ -58,12 +61,17 @@ def session_stream(spark: SparkSession, folder: str) -> DataFrame:
     return spark.readStream.option("pathGlobFilter", "*.jsonl").text(folder).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"))
 
 
-def daemon(stream: DataFrame, ingest, sync, folder: str, trigger: dict):
-    """Each micro-batch of session lines is ingested, then what it touched is synced; restarts go on from folder."""
+def daemon(stream: DataFrame, catalog: Catalog, ingest, sync, folder: str, trigger: dict, name: str = "daemon"):
+    """Each micro-batch of session lines is ingested, then what it touched is synced; restarts go on from folder.
+
+    ingest(batch, catalog) returns the tables to commit, which are committed with the number of the batch, so a batch that
+    runs again after a restart is not ingested twice. sync(files, catalog, number) runs each time, as it may be
+    what was lost: it reads the catalog and writes the same again."""
 
     def step(batch: DataFrame, i: int) -> None:
-        ingest(batch, i)
-        sync(batch.select("file").distinct(), i)
+        if i > catalog.applied(name):
+            catalog.commit(ingest(batch, catalog), name, i)
+        sync(batch.select("file").distinct(), catalog, i)
 
     return stream.writeStream.foreachBatch(step).option("checkpointLocation", folder).trigger(**trigger).start()
 
@@ -76,3 +84,15 @@ def activity(stream: DataFrame, at: str, kind: str, span: str = "1 hour", late:
 def index_changes(stream: DataFrame, apply, folder: str, trigger: dict):
     """Run apply(batch, id) on coalesced changes of each micro-batch; restarts go on from folder."""
     return stream.writeStream.foreachBatch(lambda batch, i: apply(coalesce_changes(batch), i)).option("checkpointLocation", folder).trigger(**trigger).start()
+
+
+def index_into(stream: DataFrame, catalog: Catalog, read, folder: str, trigger: dict, sink: str = "index", embed=None):
+    """A stream of changes (seq, op, path, to), applied to the index that catalog holds, each micro-batch once, also where a
+    restart runs it again. read(changes) returns the files (path, mtime, size, hash, language, content) that were modified."""
+
+    def step(batch: DataFrame, i: int) -> None:
+        if i > catalog.applied(sink):
+            changes = written(coalesce_changes(batch), "changes")
+            apply_batch(catalog, changes, read(changes), i, sink, embed)
+
+    return stream.writeStream.foreachBatch(step).option("checkpointLocation", folder).trigger(**trigger).start()
