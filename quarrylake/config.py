@@ -28,6 +28,10 @@ EXCLUDED_DIRS = (
     ".cargo", ".rustup", "Pods", ".gradle", ".idea", ".vs", ".vscode", "coverage", ".pytest_cache", ".mypy_cache",
     ".tox", "eggs", ".sass-cache", "bower_components", ".terraform", "obj", "bin", "site-packages",
 )
+IGNORE_FILES = (".gitignore", ".ignore")
+SHOWN_HIDDEN = (".github", ".gitignore")
+IGNORED_FILES = (".ds_store", "thumbs.db", ".env", ".env.local")
+IGNORED_ENDS = (".lock", "-lock.json", ".min.js", ".min.css")
 EXCLUDED_PREFIXES = ("Raw_Evidence", "RawEvidence", "Evidence_", "Evidence ")
 CORRECTIONS = (
     "no,", "no.", "no!", "no ", "don't", "dont", "stop", "wrong", "that's not", "thats not", "that is not",

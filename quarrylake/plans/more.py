@@ -116,9 +116,9 @@ _NODES = """nodes AS (SELECT 'c' || c_custkey AS id, 'customer' AS entity_type,
   UNION ALL SELECT 'n' || n_nationkey, 'nation', n_name FROM nation UNION ALL SELECT 'r' || r_regionkey, 'region', r_name FROM region)"""
 
 
-@_query("like_label", f"WITH {_NODES} SELECT id, label FROM nodes WHERE contains(lower(label), 'an')")
+@_query("like_label", f"WITH {_NODES} SELECT id, label FROM nodes WHERE contains(lower(label), 'ation')")
 def _(t):
-    return graph.like_label(_nodes(t), "AN").select("id", "label")
+    return graph.like_label(_nodes(t), "ATION").select("id", "label")
 
 
 @_query("graph_entities", f"WITH {_NODES} SELECT id, label, entity_type, 0 AS depth FROM nodes WHERE entity_type = 'nation' ORDER BY id LIMIT 50")

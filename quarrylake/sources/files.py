@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .. import config
-from ..functions.text import excluded, language_of
 from ..operators.memory import parse_memory
+from .trees import scan, scan_report  # noqa: F401  a tree is a source of files like the others
 
 
 def ignore_regex(pattern: str) -> tuple[bool, str] | None:
@@ -43,77 +42,6 @@ def ignore_regex(pattern: str) -> tuple[bool, str] | None:
     return again, ("^" if anchored else "^(?:.*/)?") + out + ("/.*$" if folder else "(?:/.*)?$")
 
 
-def ignored(rel: Column, rules: list[tuple[str, str]]) -> Column:
-    """Whether a relative path is ignored by rules (folder of the ignore file, line): the last that fits decides."""
-    out = F.lit(False)
-    for folder, line in rules:
-        made = ignore_regex(line)
-        if made is None:
-            continue
-        base = folder.strip("/") + "/" if folder.strip("/") else ""
-        inside = F.startswith(rel, F.lit(base)) & F.rlike(F.substring(rel, len(base) + 1, 1 << 20), F.lit(made[1]))
-        out = F.when(inside, F.lit(not made[0])).otherwise(out)
-    return out
-
-
-def hidden(rel: Column) -> Column:
-    return F.exists(F.split(rel, "/"), lambda p: p.startswith("."))
-
-
-def ignore_rules(spark: SparkSession, root: str, folders: list[str] | None = None) -> list[tuple[str, str]]:
-    """(folder, line) of the ignore files of a tree, outer folders first and .ignore behind .gitignore. Spark lists no hidden
-    files, so they are opened by their paths, in each folder that holds a code file or lies above one. Folders and lines come to
-    the driver: they are what people make."""
-    if folders is None:
-        folders = [r["f"] for r in _listed(spark, root).select(F.regexp_replace(_relative(root), "/?[^/]*$", "").alias("f")).distinct().collect()]
-    every = {""} | {"/".join(f.split("/")[:k]) for f in folders if f for k in range(1, f.count("/") + 2)}
-    jvm, conf, out = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), []
-    for folder in sorted(every, key=lambda f: (f.count("/") + bool(f), f)):
-        for name in (".gitignore", ".ignore"):
-            path = jvm.org.apache.hadoop.fs.Path("/".join(x for x in (root.rstrip("/"), folder, name) if x))
-            system = path.getFileSystem(conf)
-            if system.exists(path):
-                stream = system.open(path)
-                text = jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-                stream.close()
-                out += [(folder, line) for line in text.split("\n")]
-    return out
-
-
-def _listed(spark: SparkSession, root: str) -> DataFrame:
-    """The files under root whose names have a known extension, in any case."""
-    ends = ",".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e) for e in config.LANGUAGES)
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ends + "}").load(root)
-
-
-def _relative(root: str) -> Column:
-    at = F.regexp_extract("path", r"^\w+:/*(/.*)$", 1)
-    base = re.sub(r"^\w+:/*(?=/)", "", root).rstrip("/") + "/"
-    return F.when(F.startswith(at, F.lit(base)), F.substring(at, len(base) + 1, 1 << 20)).otherwise(at)
-
-
-def scan(spark: SparkSession, root: str, max_bytes: int = config.MAX_FILE_BYTES, ignore_files: bool = True) -> DataFrame:
-    """path, mtime, size, language, content, hash of the code files under root that are no larger than max_bytes.
-
-    Hidden files and folders, excluded folders and what ignore files name are left out. Only names
-    with a known extension, in any case, are listed for reading, so other files are never opened."""
-    files = _listed(spark, root)
-    files = files.filter(F.col("length") <= max_bytes).withColumns({"rel": _relative(root), "language": language_of(F.col("path"))})
-    files = files.filter(F.col("language").isNotNull() & ~excluded(F.col("rel")) & ~hidden(F.col("rel")))
-    if ignore_files:
-        files = files.filter(~ignored(F.col("rel"), ignore_rules(spark, root)))
-    text = F.col("content").cast("string")
-    return files.select(F.col("rel").alias("path"), F.unix_timestamp("modificationTime").alias("mtime"), F.col("length").alias("size"), "language", text.alias("content"), F.sha2("content", 256).alias("hash"))
-
-
-def scan_report(spark: SparkSession, root: str, max_bytes: int = config.MAX_FILE_BYTES) -> DataFrame:
-    """One row: files found that are neither hidden nor ignored, those a scan takes, those it skips. No content is read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(_relative(root).alias("rel"), "length", language_of(F.col("path")).alias("language"))
-    files = files.filter(~hidden(F.col("rel")) & ~excluded(F.col("rel")) & ~ignored(F.col("rel"), ignore_rules(spark, root)))
-    takes = F.coalesce(F.col("language").isNotNull() & (F.col("length") <= max_bytes), F.lit(False))
-    return files.agg(F.count("*").alias("found"), F.count_if(takes).alias("queued"), F.count_if(~takes).alias("skipped"))
-
-
 def session_logs(spark: SparkSession, folder: str, modified_after: str | None = None, modified_before: str | None = None) -> DataFrame:
     """value, line_no, file of the *.jsonl files of a folder. A log is split by lines where it is read, not held as one string;
     line_no orders the lines of a file. modified_before leaves out files that may still grow."""

@@ -37,7 +37,7 @@ def test_scan_heeds_ignore_files(spark, tmp_path):
     put("src/big.py", "x" * 300)
     got = {r["path"]: r["language"] for r in files.scan(spark, f"file://{tmp_path}", max_bytes=200).collect()}
     assert got == {"src/a.py": "python", "src/B.RS": "rust", "src/gen/keep.py": "python", "doc/f.md": "markdown", "sub/h.go": "go"}
-    assert files.scan_report(spark, f"file://{tmp_path}", 200).first() == (7, 5, 2)
+    assert files.scan_report(spark, f"file://{tmp_path}", 200).first() == (9, 5, 4)  # ignore files are found, not taken
 
 
 def test_logs_and_seeds(spark, tmp_path):
