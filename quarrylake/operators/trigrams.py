@@ -9,27 +9,46 @@ comparison. Nothing is ever rewritten but by compact.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..shipping import ship_package
+from ..written import written
+
 #: Trigrams of a needle that are looked up; any of them suffice, more leave fewer texts to read.
 PROBES = 4
 
 
-def grams(text: Column) -> Column:
-    """The distinct trigrams of a lower-cased text; a shorter text that is not empty is its own."""
-    low = F.lower(text)
-    n = F.length(low)
-    triples = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(low, i, F.lit(3)))
-    return F.array_distinct(F.when(n >= 3, triples).when(n > 0, F.array(low)).otherwise(F.array().cast("array<string>")))
+def text_grams(low: str) -> set[str]:
+    """The trigrams of a lower-cased text; a shorter text that is not empty is its own."""
+    return {low[k : k + 3] for k in range(len(low) - 2)} if len(low) >= 3 else {low} - {""}
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def grams(low: pd.Series) -> pd.Series:
+    """text_grams of a column that is lower-cased already; null has none."""
+    return low.map(lambda t: [] if t is None else sorted(text_grams(t)))
 
 
 def postings(df: DataFrame, id: str, columns: list[str]) -> DataFrame:
-    """df -> gram, id: each gram of each of the columns, once for a row."""
-    every = F.flatten(F.array(*[F.coalesce(grams(F.col(c).cast("string")), F.array().cast("array<string>")) for c in columns]))
-    return df.filter(F.col(id).isNotNull()).select(F.explode(F.array_distinct(every)).alias("gram"), F.col(id).alias("id"))
+    """df -> gram, id: each gram of each of the columns, once for a row. Texts are lower-cased by Spark, as a search does, and cut up in time linear in their length."""
+    ship_package(df.sparkSession)
+    kind = df.schema[id].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                own = sorted(set().union(*(text_grams(b.column(c)[k].as_py() or "") for c in range(1, b.num_columns))))
+                if own:
+                    yield pa.RecordBatch.from_arrays([pa.array(own), b.column(0).take(pa.array([k] * len(own), pa.int32()))], ["gram", "id"])
+
+    low = [F.lower(F.col(c).cast("string")).alias(f"c{k}") for k, c in enumerate(columns)]
+    return df.filter(F.col(id).isNotNull()).select(F.col(id).alias("id"), *low).mapInArrow(run, f"gram string, id {kind}")
 
 
 class TrigramIndex:
@@ -40,6 +59,7 @@ class TrigramIndex:
         self.spark, self.root = spark, root
 
     def _layer(self, rows: DataFrame) -> None:
+        rows = written(rows, "grams")  # ranges are found by a first look at the rows
         rows.repartitionByRange("gram").sortWithinPartitions("gram", "id").write.parquet(f"{self.root}/postings/layer={uuid.uuid4().hex}")
 
     def build(self, df: DataFrame, id: str, columns: list[str]) -> None:
@@ -68,11 +88,12 @@ class TrigramIndex:
 
         A needle of three characters or more is looked up by its rarest grams, one of which may be in no posting. A shorter one is held by
         every gram that holds it: the table of grams is searched for it, not that of texts."""
+        ship_package(self.spark)
         rows = self.rows()
         own = needles.filter(F.length("needle") >= 3).select("needle", F.explode(grams(F.col("needle"))).alias("gram"))
         counts = self.spark.read.parquet(f"{self.root}/counts")
         ranked = own.join(counts, "gram", "left").groupBy("needle").agg(F.slice(F.array_sort(F.collect_set(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), 1, PROBES).alias("g"))
-        rare = ranked.select("needle", F.size("g").alias("k"), F.explode("g.gram").alias("gram"))
+        rare = written(ranked.select("needle", F.size("g").alias("k"), F.explode("g.gram").alias("gram")), "rare")
         long = rare.join(rows.distinct(), "gram").groupBy("needle", "id", "k").agg(F.count("*").alias("c")).filter("c = k").select("needle", "id")
         short = needles.filter("length(needle) between 1 and 2").select(F.col("needle").alias("s"))
         # all one- and two-character pieces of a gram, so that a short needle is found by equality
