@@ -71,6 +71,7 @@ class Vocabulary:
         self.nbest = nbest
         self.parts: dict[str, tuple[float, float, tuple[int, ...]]] = {}
         self.lists: dict[str, list[tuple[float, tuple[int, ...]]]] = {}
+        self.held = 0  # ids in lists
         self.clear()
 
     def clear(self) -> None:
@@ -103,18 +104,36 @@ class Vocabulary:
         into = self.lattice(unit)
         best = self.forward(into)
         out: list[tuple[float, tuple[int, ...]]] = []
-        # of equal totals the newest goes first, so the first path found is that of part()
-        heap, turn = [(-best[-1], 0, len(unit), 0.0, ())], 0
+        # of equal totals the newest goes first, so the first path found is that of part(); a path is
+        # its first piece and the rest of it, shared by all that end alike
+        heap, turn = [(-best[-1], 0, len(unit), 0.0, None)], 0
         while heap and len(out) < n:
-            total, _, at, behind, ids = heapq.heappop(heap)
+            total, _, at, behind, path = heapq.heappop(heap)
             if at == 0:
-                out.append((-total, ids))
+                ids: list[int] = []
+                while path is not None:
+                    ids += path[0]
+                    path = path[1]
+                out.append((-total, tuple(ids)))
                 continue
             for start, score, piece in into[at]:
                 turn -= 1
-                heapq.heappush(heap, (-(best[start] + score + behind), turn, start, score + behind, piece + ids))
+                heapq.heappush(heap, (-(best[start] + score + behind), turn, start, score + behind, (piece, path)))
         return out
 
+    def joined(self, parts: list[str]) -> list[tuple[float, tuple[int, ...]]]:
+        """The n best segmentations of parts that no piece connects, best first, from those of each, as encode joins units."""
+        solved, n = [self.part(p) for p in parts], self.nbest
+        base = sum(p[0] for p in solved)
+        near = heapq.nsmallest(n - 1, ((p[1], k) for k, p in enumerate(solved) if math.isfinite(p[1])))
+        best: list[tuple[float, int, dict[int, tuple[int, ...]]]] = [(0.0, 0, {})]
+        for _, k in near:
+            choices = self.list_of(parts[k])
+            top, pieces = choices[0][0], len(choices[0][1])
+            found = ((c + top - s, m + len(i) - pieces, {**w, k: i} if j else w) for c, m, w in best for j, (s, i) in enumerate(choices))
+            best = heapq.nsmallest(n, found, key=lambda x: x[:2])
+        return [(base - c, tuple(chain.from_iterable(w.get(k, p[2]) for k, p in enumerate(solved)))) for c, _, w in best]
+
     def part(self, unit: str) -> tuple[float, float, tuple[int, ...]]:
         """(score of the best, what the second best costs more, ids of the best).
 
@@ -300,9 +319,13 @@ class Vocabulary:
     def list_of(self, unit: str) -> list[tuple[float, tuple[int, ...]]]:
         found = self.lists.get(unit)
         if found is None:
-            if len(self.lists) >= self.LIMIT // 10:
+            parts = self.cut(unit)
+            found = self.joined(parts) if len(parts) > 1 else self.search(unit, self.nbest)
+            self.held += sum(len(ids) for _, ids in found)
+            if len(self.lists) >= self.LIMIT // 10 or self.held > 10 * self.LIMIT:
                 self.lists.clear()
-            found = self.lists[unit] = self.search(unit, self.nbest)
+                self.held = 0
+            self.lists[unit] = found
         return found
 
     def encode(self, codes: np.ndarray) -> tuple[list[np.ndarray], list[float]]:

@@ -518,3 +518,17 @@ def test_lines_by_hand(spark):
         want += [row] * (2 if i == 0 else 1)
     got = [tuple(r) for r in linededup.dedup_lines(docs).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_pieces_of_long_units():
+    rng = np.random.default_rng(8)
+    v = pieces.Vocabulary(None, 4)
+    for letters, n in (("abcdefghijklmnopqrstuvwxyz", 1_000_000), ("ab", 30_000), ("日本語の", 50_000)):
+        text = "".join(rng.choice(list(letters), n))
+        ids, scores = v.encode(v.codes_of_texts([text])[0])
+        assert len(ids) == 4 and scores == sorted(scores, reverse=True) and all(pieces.decode(i, v) == text for i in ids) and len({i.tobytes() for i in ids}) == 4
+    # cut in parts or searched as one: the same scores, all different
+    for _ in range(200):
+        unit = "".join(rng.choice(list("abcdefghijxqzvwk▁é日"), rng.integers(2, 14)))
+        found, whole = v.list_of(unit), v.search(unit, 4)
+        assert [round(s, 6) for s, _ in found] == [round(s, 6) for s, _ in whole] and len({i for _, i in found}) == len(found)
