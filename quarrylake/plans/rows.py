@@ -9,7 +9,7 @@ from ..functions import encoder, text
 from ..operators import cells, graph, lookup, structure, tables, vector
 from .indexes import _own
 from . import more  # noqa: F401  its queries are there first
-from .queries import _CODE, ORACLES, _call_edges, _query, _symbols
+from .queries import _CODE, _EDGES, ORACLES, _call_edges, _edges, _query, _symbols
 
 
 @_query("record_by_id", "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id = 7")
@@ -124,3 +124,31 @@ def _(t):
 @_query("first_pages", "SELECT conv_id, turn FROM (SELECT * FROM conversations ORDER BY conv_id, turn LIMIT 40 OFFSET 20)")
 def _(t):
     return vector.page(t("conversations"), ["conv_id", "turn"], 40, 20).select("conv_id", "turn")
+
+
+# searches of the graph start from every customer whose key is divisible by 100
+def _starts(t):
+    return t("customer").filter("c_custkey % 100 = 0").select(F.concat(F.lit("c"), "c_custkey").alias("node"))
+
+
+_FROM = "starts_with(s, 'c') AND substr(s, 2)::BIGINT % 100 = 0"
+
+
+@_query("graph_expand_hundredth", f"""
+WITH {_EDGES}, b AS (SELECT s, d FROM edges WHERE conf >= 0 UNION SELECT d, s FROM edges WHERE conf >= 0),
+one AS (SELECT s AS start, d AS node, 1 AS depth FROM b WHERE {_FROM}),
+two AS (SELECT one.start, b.d AS node, 2 AS depth FROM one JOIN b ON one.node = b.s WHERE b.d <> one.start)
+SELECT start, node, min(depth) AS depth FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY start, node""")
+def _(t):
+    return graph.expand(_edges(t), _starts(t), 2, min_confidence=0.0).select("start", "node", "depth")
+
+
+@_query("graph_paths_hundredth", f"""
+WITH {_EDGES}, b AS (SELECT s, d, conf, s || '>' || d AS e FROM edges WHERE conf >= 0 UNION ALL SELECT d, s, conf, s || '>' || d FROM edges WHERE conf >= 0),
+c1 AS (SELECT s AS start, d AS node, -conf AS c, e, e AS path FROM b WHERE {_FROM}),
+one AS (SELECT start, node, path FROM c1 QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY c, e) = 1),
+c2 AS (SELECT start, b.d AS node, -conf AS c, e, path AS p, path || ' ' || e AS path FROM one JOIN b ON node = s WHERE b.d <> start AND (start, b.d) NOT IN (SELECT (start, node) FROM one)),
+two AS (SELECT start, node, path FROM c2 QUALIFY row_number() OVER (PARTITION BY start, node ORDER BY c, e, p) = 1)
+SELECT * FROM one UNION ALL SELECT * FROM two""")
+def _(t):
+    return graph.expand(_edges(t), _starts(t), 2, min_confidence=0.0).select("start", "node", F.array_join("path", " ").alias("path"))
