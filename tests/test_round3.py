@@ -7,6 +7,7 @@ import quarrylake.plans.indexes  # noqa: F401  adds queries
 import quarrylake.plans.more  # noqa: F401  adds queries
 import quarrylake.plans.rows  # noqa: F401  adds queries
 from quarrylake.functions import text
+from quarrylake.functions.kernels import jaro_winkler
 from quarrylake.plans.queries import ORACLES, QUERIES
 
 
@@ -39,3 +40,11 @@ def test_scalars_have_days_as_the_sql_says_them(spark, tmp_path):
     assert [r[1] for r in got][-5:-2] == ["23 hours ago", "1 days ago", "1 days ago"]
     one = spark.range(1).select(text.time_ago(F.lit(86400)))  # the operator itself has a singular, as the reference does
     assert one.first()[0] == "1 day ago"
+
+
+def test_note_pairs_compare_bytes_as_the_sql_does(spark, tmp_path):
+    words = ["ción ñez la", "cion nez la", "ñañaña", "ñaxaya", "nanana", "ßöüä", "ßöüa", "aañóñó", "aaáéíú", "a" * 199 + "ñb", "a" * 150 + "ñ" * 60]
+    items = [(k, w) for k, w in enumerate([*words, "ción ñez la"])]
+    got = _agrees(spark, tmp_path, "note_pairs", benchmark=(items, "item_id long, text string"))
+    apart = [(x, y) for k, (x, a) in enumerate(items) for y, b in items[k + 1 :] if jaro_winkler(a[:200], b[:200]) >= 0.7]
+    assert (0, 11) in got and (7, 8) in got and (7, 8) not in apart
