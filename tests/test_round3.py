@@ -3,6 +3,7 @@
 import random
 
 import duckdb
+import numpy as np
 from pyspark.sql import functions as F
 
 import quarrylake.plans.indexes  # noqa: F401  adds queries
@@ -10,7 +11,7 @@ import quarrylake.plans.more  # noqa: F401  adds queries
 import quarrylake.plans.rows  # noqa: F401  adds queries
 from quarrylake.functions import text
 from quarrylake.functions.kernels import jaro_winkler
-from quarrylake.operators import graph
+from quarrylake.operators import cells, graph, vector
 from quarrylake.plans.queries import ORACLES, QUERIES
 
 
@@ -83,3 +84,31 @@ def test_expansion_of_starts_that_share_nodes(spark, monkeypatch):
     assert sorted((r["start"], r["node"], r["depth"], r["path"]) for r in got.collect()) == _expanded(edges, starts, 3)
     # the second level has 20 nodes for each of three hubs, not for each of 60 starts
     assert [n for name, n in sizes if name == "reached"][1] < 250
+
+
+def test_neighbours_among_copies_in_bounded_memory(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = np.round(rng.normal(size=(900, 6)) * 3, 1)
+    x[100:500], x[500:640] = x[0], x[1]  # two large groups of copies
+    x = x[rng.permutation(900)].astype(np.float32).astype(float)
+    v = spark.createDataFrame([(k, e.tolist()) for k, e in enumerate(x)], "vec_id long, embedding array<float>")
+    q = v.filter("vec_id % 4 = 0").selectExpr("vec_id as qid", "embedding as q")
+    want = {}
+    for k in range(0, 900, 4):
+        d = np.sqrt(((x - x[k]) ** 2).sum(1))
+        want[k] = [(j, round(float(d[j]), 9)) for j in np.lexsort((np.arange(900), d))[:7]]
+    index = cells.VectorCells(spark, f"file://{tmp_path}")
+    index.build(v)
+    for name in ("QUERY_BLOCK", "BLOCK_VALUES", "AT_ONCE"):  # blocks of ten queries, a few distances at once
+        monkeypatch.setattr(vector, name, 64)
+    for out in (vector.knn_batch(v, q, 7), index.knn(q, 7).withColumnRenamed("id", "vec_id")):
+        # queries and vectors meet in the tasks and are not joined pair by pair
+        assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+        got = {}
+        for r in out.orderBy("qid", "rank").collect():
+            got.setdefault(r["qid"], []).append((r["vec_id"], round(r["distance"], 9)))
+        assert got == want
+    best = vector.Nearest(x[:50], 5)
+    for s in range(0, 900, 90):
+        best.add(np.arange(s, s + 90), x[s : s + 90])
+        assert best.held <= max(1 << 18, 4 * 5 * 50) + 64
