@@ -10,8 +10,8 @@ import quarrylake.plans.indexes  # noqa: F401  adds queries
 import quarrylake.plans.more  # noqa: F401  adds queries
 import quarrylake.plans.rows  # noqa: F401  adds queries
 from quarrylake.functions import text
-from quarrylake.functions.kernels import jaro_winkler
-from quarrylake.operators import cells, graph, vector
+from quarrylake.functions.kernels import jaro_winkler, tool_runs
+from quarrylake.operators import cells, graph, transcripts, vector
 from quarrylake.plans.queries import ORACLES, QUERIES
 
 
@@ -112,3 +112,29 @@ def test_neighbours_among_copies_in_bounded_memory(spark, tmp_path, monkeypatch)
     for s in range(0, 900, 90):
         best.add(np.arange(s, s + 90), x[s : s + 90])
         assert best.held <= max(1 << 18, 4 * 5 * 50) + 64
+
+
+def test_ingest_brings_each_session_together_twice(spark):
+    rng, rows = random.Random(8), []
+    for s in range(30):
+        for n in range(rng.randrange(1, 60)):
+            tool = rng.choice(["Bash"] * 6 + ["Edit", None])
+            rows.append((f"s{s}", n, "tool_use" if tool else "user", rng.choice(["cargo test", "cargo tests", "cargo test", "ls", "no, stop", "", None]), tool, f"u{n}", not tool and rng.random() < 0.2))
+    e = spark.createDataFrame(rows, "session_id string, n long, kind string, text string, tool_name string, tool_use_id string, is_error boolean")
+    want = []
+    for s in {r[0] for r in rows}:
+        uses, own = [], sorted((r for r in rows if r[0] == s and r[4]), key=lambda r: r[1])
+        for r in own:
+            if uses and uses[-1][1] != r[4]:
+                want += [(s, *f) for f in tool_runs(uses)]
+                uses = []
+            uses.append((r[1], r[4], r[3] or ""))
+        want += [(s, *f) for f in tool_runs(uses)]
+    assert len(want) > 10 and sorted(tuple(r) for r in transcripts.repeated_tools(e).collect()) == sorted(want)
+    plan = transcripts.extract_all(e)._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1]
+    assert plan.count("Exchange hashpartitioning(session_id") <= 4 and "FlatMapGroups" not in plan
+    # one title in every session: no window over it
+    fresh, report = transcripts.ingest(e, spark.createDataFrame([], "title string"))
+    assert "Window" not in fresh._jdf.queryExecution().optimizedPlan().toString()
+    titles = [(r["title"] or "").lower() for r in fresh.collect()]
+    assert len(titles) == len(set(titles)) == sum(r["stored"] for r in report.collect())
