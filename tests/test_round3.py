@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import quarrylake.plans.indexes  # noqa: F401  adds queries
@@ -11,7 +12,7 @@ import quarrylake.plans.more  # noqa: F401  adds queries
 import quarrylake.plans.rows  # noqa: F401  adds queries
 from quarrylake.functions import text
 from quarrylake.functions.kernels import jaro_winkler, tool_runs
-from quarrylake.operators import cells, graph, transcripts, vector
+from quarrylake.operators import cells, graph, knowledge, transcripts, vector
 from quarrylake.plans.queries import ORACLES, QUERIES
 
 
@@ -138,3 +139,36 @@ def test_ingest_brings_each_session_together_twice(spark):
     assert "Window" not in fresh._jdf.queryExecution().optimizedPlan().toString()
     titles = [(r["title"] or "").lower() for r in fresh.collect()]
     assert len(titles) == len(set(titles)) == sum(r["stored"] for r in report.collect())
+
+
+def test_edge_feed_keeps_a_large_limit_in_ranges(spark, monkeypatch):
+    symbols = spark.createDataFrame([(k, f"f{k}", "import" if k == 7 else "function") for k in range(40)], "id long, symbol_name string, symbol_kind string")
+    kinds = ["inherits", "other", "calls", "imports"]
+    edges = spark.createDataFrame([(e, e * 7 % 40, f"g{e}", kinds[e % 4]) for e in range(900)], "id long, source_symbol_id long, target_symbol_name string, edge_kind string")
+    place = {"calls": 0, "inherits": 1, "imports": 2, "other": 3}
+    want = [f"g{e}" for _, e in sorted((place[kinds[e % 4]], e) for e in range(900) if e * 7 % 40 != 7)]
+    monkeypatch.setattr(knowledge, "ONE_TASK", 10)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for limit in (5, 11, 333, 5000):
+            out = knowledge.edge_feed(symbols, edges, limit)
+            assert [r["target"] for r in out.collect()] == want[:limit]
+            assert limit == 5 or "Limit" not in out._jdf.queryExecution().optimizedPlan().toString()
+        assert knowledge.edge_feed(symbols, edges.limit(0), 50).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("frequent", [3, 1000])
+def test_facts_of_frequent_labels(spark, monkeypatch, frequent):
+    rows = [("solution", f"s{k % 30}", "related_to", "concept", ["Red", "red", " blue", "rare" + str(k), ""][k % 5]) for k in range(60)] + [("agent", "a", "used", "tool", f"t{k}") for k in range(9)]
+    facts = spark.createDataFrame(rows, "from_type string, from_label string, relationship string, to_type string, to_label string")
+    nodes, edges = spark.createDataFrame([("old", "concept", "RED", None, 1)], knowledge.NODES), spark.createDataFrame([], knowledge.EDGES)
+    monkeypatch.setattr(knowledge, "FREQUENT", frequent, raising=False)
+    made, linked = knowledge.write_facts(nodes, edges, facts)
+    label = {r["id"]: (r["entity_type"], r["label"].strip().lower()) for r in made.collect()}
+    got = sorted((*label[r["from_node"]], r["relationship"], *label[r["to_node"]]) for r in linked.collect())
+    assert got == sorted({(a, b.lower(), r, c, d.strip().lower()) for a, b, r, c, d in rows if d.strip()})
+    assert sum(r["to_node"] == "old" for r in linked.collect()) == len({r[1] for r in rows if r[4].lower() == "red"})
+    # frequent labels are looked up by a join that sends them to the facts, on either end
+    assert linked._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 2
