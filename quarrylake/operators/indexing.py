@@ -7,10 +7,14 @@ ledger (path, mtime, size, hash). Each step takes the state and returns the next
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.kernels import chunks_udf, embed_udf, symbols_udf
+from ..functions.kernels import chunk_lines, embed_udf, symbols_udf
+from ..shipping import ship_package
 from .structure import call_edges
 from .tables import Catalog, diff
 
@@ -25,13 +29,35 @@ def empty(spark: SparkSession) -> State:
     return {k: spark.createDataFrame([], s) for k, s in (("chunks", CHUNKS), ("symbols", SYMBOLS), ("edges", EDGES), ("ledger", LEDGER))}
 
 
+#: Bytes of chunks from which on a task passes them on.
+PASSED_ON = 1 << 20
+
+
 def chunked(files: DataFrame, embed=None) -> DataFrame:
-    """files (path, content) -> chunks. embed is a Column function of the content; the default is a stand-in."""
+    """files (path, content) -> chunks. embed is a Column function of the content; the default is a stand-in.
+
+    A task holds the files as they arrive, in Arrow, and the chunks of few of them at once."""
     embed = embed or embed_udf()
-    c = files.select("path", F.inline(chunks_udf()("content")))
+    ship_package(files.sparkSession)
+    c = files.select(F.col("path").cast("string"), F.col("content").cast("string")).filter("content is not null")
+    c = c.mapInArrow(_chunk_batches, "path string, chunk_index int, start_line int, end_line int, content string")
     return c.withColumn("embedding", embed("content"))
 
 
+def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = {"path": pa.string(), "chunk_index": pa.int32(), "start_line": pa.int32(), "end_line": pa.int32(), "content": pa.string()}
+    out, size = [], 0
+    for b in batches:
+        for path, content in zip(b.column(0), b.column(1)):
+            for c in chunk_lines(content.as_py()):
+                out.append(c | {"path": path.as_py()})
+                size += len(c["content"])
+            if size >= PASSED_ON:
+                yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in kinds.items()], list(kinds))
+                out, size = [], 0
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in kinds.items()], list(kinds))
+
+
 def parsed(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """files (path, language, content) -> (symbols, edges)."""
     s = files.select(F.col("path").alias("file_path"), "language", F.posexplode(symbols_udf("content", "language")).alias("k", "s"))

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,8 +12,8 @@ import quarrylake.plans.indexes  # noqa: F401  adds queries
 import quarrylake.plans.more  # noqa: F401  adds queries
 import quarrylake.plans.rows  # noqa: F401  adds queries
 from quarrylake.functions import text
-from quarrylake.functions.kernels import jaro_winkler, tool_runs
-from quarrylake.operators import cells, graph, knowledge, transcripts, vector
+from quarrylake.functions.kernels import chunk_lines, jaro_winkler, tool_runs
+from quarrylake.operators import cells, graph, indexing, knowledge, transcripts, vector
 from quarrylake.plans.queries import ORACLES, QUERIES
 
 
@@ -172,3 +173,16 @@ def test_facts_of_frequent_labels(spark, monkeypatch, frequent):
     assert sum(r["to_node"] == "old" for r in linked.collect()) == len({r[1] for r in rows if r[4].lower() == "red"})
     # frequent labels are looked up by a join that sends them to the facts, on either end
     assert linked._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") >= 2
+
+
+def test_chunks_of_a_large_batch_are_passed_on_in_parts(spark, monkeypatch):
+    texts = ["\n".join(f"line {n} of {k}" for n in range(k * 7)) for k in range(60)] + ["", None]
+    monkeypatch.setattr(indexing, "PASSED_ON", 20_000, raising=False)
+    batch = pa.RecordBatch.from_pydict({"path": [f"p{k}" for k in range(61)], "content": texts[:61]})
+    out = list(indexing._chunk_batches(iter([batch])))
+    assert len(out) > 5 and max(sum(map(len, b.column("content").to_pylist())) for b in out) < 20_000 + max(len(t) for t in texts[:61]) * 1.2
+    want = sorted((f"p{k}", *c.values()) for k, t in enumerate(texts[:61]) for c in chunk_lines(t))
+    assert sorted(tuple(r.values()) for b in out for r in b.to_pylist()) == want
+    files = spark.createDataFrame([(f"p{k}", t) for k, t in enumerate(texts)], "path string, content string")
+    got = indexing.chunked(files)
+    assert sorted(tuple(r)[:5] for r in got.collect()) == want and got.select("path")._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 0
