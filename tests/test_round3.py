@@ -14,6 +14,7 @@ import quarrylake.plans.rows  # noqa: F401  adds queries
 from quarrylake.functions import text
 from quarrylake.functions.kernels import chunk_lines, jaro_winkler, tool_runs
 from quarrylake.operators import cells, graph, indexing, knowledge, transcripts, vector
+from quarrylake.plans import queries
 from quarrylake.plans.queries import ORACLES, QUERIES
 
 
@@ -186,3 +187,13 @@ def test_chunks_of_a_large_batch_are_passed_on_in_parts(spark, monkeypatch):
     files = spark.createDataFrame([(f"p{k}", t) for k, t in enumerate(texts)], "path string, content string")
     got = indexing.chunked(files)
     assert sorted(tuple(r)[:5] for r in got.collect()) == want and got.select("path")._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 0
+
+
+def test_structural_facts_are_dealt_by_the_number_of_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(queries, "TASK_ROWS", 40, raising=False)
+    rng = random.Random(2)
+    part = [(k, f"b{k % 3}", f"t{k % 2}", k) for k in range(30)]
+    lines = [(rng.randrange(40), rng.randrange(5), rng.randrange(30)) for _ in range(300)]
+    _agrees(spark, tmp_path, "structural_facts", part=(part, "p_partkey long, p_brand string, p_type string, p_size int"), supplier=([(k,) for k in range(40)], "s_suppkey long"), lineitem=(lines, "l_orderkey long, l_linenumber int, l_partkey long"))
+    plan = QUERIES["structural_facts"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count(", 8") == 3  # both sides of the join of rows, and the facts
