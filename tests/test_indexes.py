@@ -52,6 +52,30 @@ def test_few_texts_are_read(spark, tmp_path):
     assert index.candidates(asked).count() == 40 == index.search(df, asked, "id", ["text"]).count()
 
 
+def test_postings_are_lists_that_meet_in_parts(spark, tmp_path, monkeypatch):
+    rows = _texts(300, 5)
+    df = spark.createDataFrame(rows, "id long, text string, title string")
+    index = trigrams.TrigramIndex(spark, f"file://{tmp_path}/a")
+    index.build(df, "id", ["text"])
+    # a row for each text and gram, as there was, is some ten thousand here
+    assert 10 * index._lists().count() < index.rows().count() == index.rows().distinct().count()
+    monkeypatch.setattr(trigrams, "TOGETHER", 3)
+    # pairs and single characters are looked up, not searched for among all grams
+    asked = ["é", "É", "日本", "wa", "L", "wal sq", "lock lock", "%", "b_", "no"]
+    got = _found(index.search(df, spark.createDataFrame([(x,) for x in asked], "needle string"), "id", ["text"]))
+    assert got == sorted((x, i) for x in asked for i, t, _ in rows if x.lower() in t.lower())
+
+
+def test_pieces_of_texts():
+    rng = random.Random(8)
+    for letters in ("ab", "aé日😀\0", [chr(0x4E00 + k) for k in range(3000)]) * 3:
+        texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 30))) for _ in range(50)]
+        row = np.array(sorted(rng.randrange(20) for _ in texts)) * rng.choice([1, 10**9])
+        got = [(p, int(r)) for pieces, ends, rows in trigrams._cut(texts, row) for p, s, e in zip(pieces, np.append(0, ends), ends) for r in rows[s:e]]
+        assert len(got) == len(set(got))
+        assert set(got) == {(t[k : k + w], int(r)) for t, r in zip(texts, row) for w in (1, 2, 3) for k in range(len(t) - w + 1)}
+
+
 def _near(got):
     out = {}
     for r in got.collect():
